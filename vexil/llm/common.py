@@ -81,6 +81,11 @@ CLASS[[9, 10, 11, 12, 13, 32]] = 0
 CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 95]] = 1
 #: The same with 2 as 1: words are what white space separates.
 SPACED = np.minimum(CLASS, 1)
+#: The same with 2 as 0: only letters, digits and what lies beyond ASCII make words.
+WORDS = np.where(CLASS == 2, 0, CLASS).astype(np.uint8)
+#: ASCII capitals as small letters.
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +111,8 @@ def sub_batches(offsets: np.ndarray, limit: int = SUB_BATCH_BYTES) -> Iterator[t
         a = b
 
 
-def token_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the tokens (longest runs of one class of bytes, white space left out) of documents that lie one after another.
+def token_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = SPACED, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens (longest runs of one class of bytes, class 0 left out) of documents that lie one after another; with fold, ASCII capitals count as small.
 
     Returns the hashes and, for each document, the range of its own: n + 1 offsets.
     """
@@ -125,6 +130,8 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = SP
     real = kind[starts] != 0
     starts, ends = starts[real], ends[real]
     total = np.zeros(len(text) + 1, dtype=U64)
+    if fold:
+        text = SMALL[text]
     np.cumsum((text.astype(U64) + U64(1)) * powers(len(text)), out=total[1:])
     hashes = mix((total[ends] - total[starts]) * powers(len(text), True)[starts])
     return hashes, np.searchsorted(starts, at)

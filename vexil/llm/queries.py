@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vexil.llm import quality_classifier
+from vexil.llm import line_dedup, minhash_dedup, quality_classifier
 from vexil.llm.common import read_table
 
 
@@ -15,9 +16,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lang", "source", quality_classifier.SCORE)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op5_line_dedup, op7_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.SQL}
