@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.llm import line_dedup, minhash_dedup, quality_classifier
+from vexil.llm import line_dedup, minhash_dedup, quality_classifier, substring_dedup
 from vexil.llm.common import read_table
 
 
@@ -21,13 +21,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_line_dedup, op7_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op5_line_dedup, op6_substring_dedup, op7_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL}
+    return {"op5_line_dedup": line_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL}
