@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.llm import bpe, line_dedup, minhash_dedup, quality_classifier, quality_rules, substring_dedup
+from vexil.llm import bpe, line_dedup, minhash_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
 from vexil.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.kept_rates(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
@@ -38,7 +42,7 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_line_dedup, op6_substring_dedup, op7_minhash_near_dedup, op9_quality_rules, op10_bpe_tokens)}
+    return {f.__name__: f for f in (op1_quality_classifier, op5_line_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_secret_scan, op9_quality_rules, op10_bpe_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
