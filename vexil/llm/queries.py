@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.llm import bpe, line_dedup, minhash_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
+from vexil.llm import bpe, license_scan, line_dedup, minhash_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
 from vexil.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lang", "source", quality_classifier.SCORE)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
@@ -42,8 +46,8 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_line_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_secret_scan, op9_quality_rules, op10_bpe_tokens)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op5_line_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_secret_scan, op9_quality_rules, op10_bpe_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op2_license_scan": license_scan.SQL, "op5_line_dedup": line_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
