@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.llm import bpe, license_scan, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup
+from vexil.llm import bpe, license_scan, line_dedup, minhash_dedup, mixing, pivot_search, quality_classifier, quality_rules, secret_scan, substring_dedup
 from vexil.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return mixing.mixing_rates(docs, read_table(spark, sf_dir, "labels"))
@@ -51,8 +55,8 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op4_source_mixing, op5_line_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_secret_scan, op9_quality_rules, op10_bpe_tokens)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_exact_top_k, op4_source_mixing, op5_line_dedup, op6_substring_dedup, op7_minhash_near_dedup, op8_secret_scan, op9_quality_rules, op10_bpe_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.SQL, "op5_line_dedup": line_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op2_license_scan": license_scan.SQL, "op3_exact_top_k": pivot_search.SQL, "op5_line_dedup": line_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
