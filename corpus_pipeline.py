@@ -1,21 +1,56 @@
-"""The corpus pipeline: STAGES in order, each over all that the one before kept."""
+"""The corpus pipeline: STAGES in order, each over all that the one before kept.
+
+Rows pass from stage to stage with the columns of documents; n_chars follows the text where lines are taken out. Other
+columns, if a table has any, pass through up to the last stage, which has tokens in place of the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vexil.llm import quality_classifier
+from vexil.llm import bpe, line_dedup, minhash_dedup, mixing, quality_classifier
 from vexil.llm.common import materialise, read_table
 
+#: Shares of words after mixing. All clean words are spent, once each, so documents that are clean stay.
+TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the classifier rejects go."""
     return quality_classifier.classify(docs, read_table(spark, sf_dir, "labels")).select(docs.columns)
 
 
-STAGES = [("quality classifier", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: lines stay at their first place only; documents that lose all go."""
+    left = line_dedup.deduplicate(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each group stays."""
+    return minhash_dedup.deduplicate(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents are drawn at their rates, at most once each."""
+    return mixing.sample(docs, read_table(spark, sf_dir, "labels"), TARGETS, spend="clean", max_rate=1.0)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: doc_id, lang, source, n_chars and the tokens."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
+]
 
-#: The classifier and the signatures can't be said in SQL; tests/llm/test_pipeline.py compares with a brute-force version.
+#: The classifier, the signatures and the merges can't be said in SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
