@@ -52,7 +52,7 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
     """log of the share of an indicator among good documents over that among bad ones; 0 where it never occurs."""
     size = 1 << bits
-    counts = [np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == side]), minlength=size)[:size].astype(float) for side in (1, 0)]
+    counts = [np.bincount(np.concatenate([np.zeros(0, np.uint32), *[r for r, y in zip(rows, labels) if y == side]]), minlength=size)[:size].astype(float) for side in (1, 0)]
     good, bad = (c + alpha for c in counts)
     ratio = np.log((good / good.sum()) / (bad / bad.sum()))
     ratio[(counts[0] + counts[1]) == 0] = 0
