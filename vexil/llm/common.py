@@ -18,7 +18,7 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 #: Inverse of BASE modulo 2**64.
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
 #: Text bytes that are handled at once; a longer document is handled alone.
-SUB_BATCH_BYTES = 2 << 20
+SUB_BATCH_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

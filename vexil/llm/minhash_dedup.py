@@ -95,7 +95,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            for a, b in sub_batches(offsets, 1 << 20):
+            batch = batch.select(["doc_id", "key"])
+            for a, b in sub_batches(offsets):
                 x, at = shingles(data, offsets[a : b + 1])
                 has = np.flatnonzero(np.diff(at) > 0)
                 if not len(has):

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from vexil.llm.common import U64, documents_of, materialise, mix, powers, string_buffers, sub_batches, text_key, token_hashes
 
 MIN_WORDS, GRAM = 50, 8
-SHARD_BLOCKS, HOT = 8000, 20000
+SHARD_BLOCKS, HOT = 4000, 4000
 
 
 class RankBits:
@@ -173,6 +173,7 @@ def block_table(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
+            batch = batch.select(PLACE)
             for a, b in sub_batches(offsets):
                 doc, start, windows, anchor, content = blocks(*token_hashes(data, offsets[a : b + 1]), min_words)
                 part = batch.slice(a, b - a).take(pa.array(doc))
@@ -225,15 +226,18 @@ def count_windows(contents: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             anchor, content = (batch.column(c).to_numpy() for c in ("anchor", "content"))
-            out = []
-            for k, w in enumerate(batch.column("words").to_pylist()):
-                words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(w, U64), min_words)
-                one, two = np.zeros(len(words), U64), np.zeros(len(words), U64)
-                for j in range(min_words):
-                    one, two = one * U64(0x9E3779B97F4A7C15) + words[:, j], two * U64(0xC2B2AE3D27D4EB4F) + words[:, j]
-                out.append((np.full(len(words), k), np.arange(len(words)), mix(one), mix(two)))
-            k, a, one, two = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(content[k]), pa.array(a.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["anchor", "content", "a", "one", "two"])
+            for first in range(0, batch.num_rows, 1000):
+                part = [np.frombuffer(w, U64) for w in batch.column("words").slice(first, 1000).to_pylist()]
+                h, counts = np.concatenate(part), np.array([len(w) - min_words + 1 for w in part])
+                starts = np.concatenate([[0], np.cumsum(counts + min_words - 1)])[:-1]
+                k = np.repeat(np.arange(len(part)), counts)
+                a = np.arange(len(k)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at, hashes = starts[k] + a, []
+                for x in (h, mix(h + U64(1))):
+                    total = np.concatenate([np.zeros(1, U64), np.cumsum(x * powers(len(x)), dtype=U64)])
+                    hashes.append(mix((total[at + min_words] - total[at]) * powers(len(x), True)[at]).view(np.int64))
+                k += first
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(content[k]), pa.array(a.astype(np.int32)), *map(pa.array, hashes)], ["anchor", "content", "a", "one", "two"])
 
     windows = contents.mapInArrow(run, "anchor long, content long, a int, one long, two long")
     counted = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
