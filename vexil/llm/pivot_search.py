@@ -104,7 +104,7 @@ def search_block(near: Nearest, q_pivots: np.ndarray, limit: np.ndarray, c: np.n
         least = np.minimum(near.d[:, -1], limit) + SLACK
         if not (bound[:, order[s:]].min(axis=1) <= least).any():
             break
-        live = bound[:, part] <= least[:, None]
+        live = (bound[:, part] <= least[:, None]) & np.isfinite(bound[:, part])
         rows = np.flatnonzero(live.any(axis=1))
         if not len(rows):
             continue
@@ -114,7 +114,7 @@ def search_block(near: Nearest, q_pivots: np.ndarray, limit: np.ndarray, c: np.n
             least = np.minimum(least[rows], cut + SLACK)
         else:
             least = least[rows]
-        i, j = np.nonzero(d <= least[:, None] + SLACK)
+        i, j = np.nonzero(live[rows] & (d <= least[:, None] + SLACK))
         near.add(rows[i], part[j], c, c_ids)
 
 
