@@ -8,6 +8,9 @@ then joined with the fences of their group and stay if every rate is within.
 Sketches hold up to K values exactly; beyond, the rank error is about 1.3 % at K = 200 and falls with K. The fences are
 written to the shared folder once, so a task that is run again sees the same ones.
 
+One short line, such as a title, is nobody's fault, so short_line_rate counts those beyond the first. Floors are wide
+where short clean texts vary much: a telephone number is a large share of one sentence's signs.
+
 Defined results: a null text counts as empty; a text without a word is rejected. Null languages and sources make groups
 of their own. Repeated rows each count and each get the same decision. Where a group is too small to have spread, the
 floors keep its fences apart. Other columns pass through; input columns named like the rates are replaced.
@@ -26,8 +29,8 @@ GROUP = ["lang", "source"]
 RULES = {
     "word_length": (0.5, True, True),
     "symbol_rate": (0.01, False, True),
-    "capital_rate": (0.02, False, True),
-    "digit_rate": (0.02, False, True),
+    "capital_rate": (0.05, False, True),
+    "digit_rate": (0.1, False, True),
     "short_line_rate": (0.15, False, True),
     "repeat_line_rate": (0.1, False, True),
 }
@@ -47,7 +50,7 @@ def rates() -> dict[str, Column]:
         "symbol_rate": share(kind("!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"), solid),
         "capital_rate": share(kind("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), solid),
         "digit_rate": share(kind("0123456789"), solid),
-        "short_line_rate": share(F.size(F.filter(lines, lambda x: F.length(x) < 20)), F.when(words > 0, F.size(lines)).otherwise(0)),
+        "short_line_rate": share(F.greatest(F.size(F.filter(lines, lambda x: F.length(x) < 20)) - 1, F.lit(0)), F.when(words > 0, F.size(lines)).otherwise(0)),
         "repeat_line_rate": share(F.size(lines) - F.size(F.array_distinct(lines)), F.when(words > 0, F.size(lines)).otherwise(0)),
     }
 
@@ -117,7 +120,7 @@ WITH parts AS (
 ), rows AS (
   SELECT doc_id, lang, source, n::BIGINT AS n_words, solid::DOUBLE / n AS word_length, {kind(signs)}::DOUBLE / solid AS symbol_rate,
     {kind("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}::DOUBLE / solid AS capital_rate, {kind("0123456789")}::DOUBLE / solid AS digit_rate,
-    len(list_filter(lines, lambda x: length(x) < 20))::DOUBLE / len(lines) AS short_line_rate,
+    greatest(len(list_filter(lines, lambda x: length(x) < 20)) - 1, 0)::DOUBLE / len(lines) AS short_line_rate,
     (len(lines) - len(list_distinct(lines)))::DOUBLE / len(lines) AS repeat_line_rate FROM parts WHERE n > 0
 ), fences AS (SELECT lang, source, {", ".join(fence)} FROM rows GROUP BY lang, source)
 SELECT r.doc_id, r.lang, r.source, n_words, {", ".join(RULES)} FROM rows r
