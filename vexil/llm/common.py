@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,8 +146,13 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def has_rows(df: DataFrame) -> bool:
-    return bool(df.limit(1).count())
+def set_aside(docs: DataFrame, own: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns that clash with own, or start with two underscores, in one struct; and what takes them out of it again."""
+    odd = [c for c in docs.columns if c.startswith("__") or c.lower() in own]
+    if not odd:
+        return docs, lambda df: df
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in odd]
+    return docs.select(*rest, F.struct(*[F.col(f"`{c}`") for c in odd]).alias("__aside")), lambda df: df.select(*[F.col(f"`{c}`") for c in df.columns if c != "__aside"], "__aside.*")
 
 
 def text_key() -> F.Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexil.llm.common import drop_table, materialise, partitions_for, shared_dir, text_key
+from vexil.llm.common import drop_table, materialise, partitions_for, set_aside, shared_dir, text_key
 
 BATCHES, FANOUT = 8, 4
 PLACE = ["doc_id", "key", "line_no"]
@@ -76,7 +76,7 @@ class Runs:
 
 def line_hashes(docs: DataFrame, batches: int) -> DataFrame:
     """(h1, h2, doc_id, key, line_no, batch) of every non-blank line, its first place within its document only."""
-    edges = [float(x) for x in docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001)]
+    edges = [float(x) for x in docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001)] if batches > 1 else []
     batch = F.lit(0)
     for e in sorted(set(edges)):
         batch = batch + F.when(F.col("doc_id") > F.lit(e), 1).otherwise(0)
@@ -101,6 +101,8 @@ def first_places(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """docs with the lines that occurred before taken out of their text, without documents that lost all."""
     keep = first_places(docs, batches).groupBy("doc_id", "key").agg(F.collect_list("line_no").alias("__keep")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept_key"), "__keep")
+    columns = docs.columns
+    docs, back = set_aside(docs)
     marked = docs.withColumn("__key", text_key())
     joined = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked["__key"] == keep["__kept_key"]), "left").select(*docs.columns, "__keep")
 
@@ -121,7 +123,7 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             columns = [pa.array(out, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(use, pa.bool_()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return back(joined.mapInArrow(run, docs.schema)).select(columns)
 
 
 SQL = """

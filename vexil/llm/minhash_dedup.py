@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vexil.llm.common import U64, WORDS, documents_of, materialise, mix, string_buffers, sub_batches, text_key, token_hashes
+from vexil.llm.common import U64, WORDS, documents_of, materialise, mix, set_aside, string_buffers, sub_batches, text_key, token_hashes
 from vexil.llm.components import connected_components
 
 SHINGLE, HASHES, ROWS, BITS = 3, 256, 4, 2
@@ -244,7 +244,9 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that near_duplicates names: one row of each group stays, with all its columns."""
     rows, _ = groups(docs, threshold)
     gone = _removed(rows).where("not is_keeper").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone"))
+    columns = docs.columns
+    docs, back = set_aside(docs)
     marked = docs.withColumn("__key", text_key())
     left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__key"] == gone["__gone"]), "left_anti")
     once = Window.partitionBy("doc_id", "__key").orderBy("doc_id")
-    return left.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(docs.columns)
+    return left.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__key").transform(back).select(columns)

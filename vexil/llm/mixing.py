@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import SPACED, materialise, string_buffers, sub_batches, text_key, token_hashes
+from vexil.llm.common import SPACED, materialise, set_aside, string_buffers, sub_batches, text_key, token_hashes
 from vexil.llm.quality_classifier import BITS, MAX_LABELLED, dual_coordinate_descent, feature_rows, indicators, labelled_rows, log_count_ratios, sums
 
 DOMAINS = ("clean", "low", "toxic")
@@ -176,15 +176,18 @@ def with_rates(rows: DataFrame, rates: Rates, seed: int = 11) -> DataFrame:
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, spend: str | None = None, max_rate: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs without text, with n_tokens, posteriors, rate and copies."""
+    docs, back = set_aside(docs)
     model = docs.sparkSession.sparkContext.broadcast(fit_domains(docs, labels, max_labelled))
     table = materialise(with_posteriors(docs.withColumn("__key", text_key()), model, text=False), "posteriors")
-    return with_rates(table, solve(table, targets, spend, max_rate))
+    return back(with_rates(table, solve(table, targets, spend, max_rate)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, spend: str | None = None, max_rate: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs, each row as often as its copies say. Posteriors are made twice, so that texts need neither be written nor shuffled."""
+    columns = docs.columns
+    docs, back = set_aside(docs, ("n_tokens", "rate", "copies", *POSTERIORS))
     model = docs.sparkSession.sparkContext.broadcast(fit_domains(docs, labels, max_labelled))
     keyed = docs.withColumn("__key", text_key())
     table = materialise(with_posteriors(docs.select("doc_id", "text"), model, text=False), "posteriors")
     drawn = with_rates(with_posteriors(keyed, model), solve(table, targets, spend, max_rate)).where("copies > 0")
-    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("__copy", "n_tokens", "rate", "copies", *POSTERIORS).transform(back).select(columns)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexil.llm.common import materialise
+from vexil.llm.common import materialise, set_aside
 
 K, REACH = 400, 4.0
 GROUP = ["lang", "source"]
@@ -79,13 +79,15 @@ def fences(sketched: DataFrame, reach: float = REACH) -> DataFrame:
 
 def _within(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """The joined filter: rows of rates that lie within the fences of their group."""
+    columns = rows.columns
+    rows, back = set_aside(rows)
     limits = materialise(limits, "fences")
     limits = limits.select(*[F.col(c).alias(f"__{c}") for c in limits.columns])
     same = rows["lang"].eqNullSafe(limits["__lang"]) & rows["source"].eqNullSafe(limits["__source"])
     within = F.col("n_words") > 0
     for r in RULES:
         within &= F.col(r).between(F.col(f"__{r}_low"), F.col(f"__{r}_high"))
-    return rows.join(limits, same).where(within).select(rows.columns)
+    return back(rows.join(limits, same).where(within).select(rows.columns)).select(columns)
 
 
 def kept_rates(docs: DataFrame, k: int = K, reach: float = REACH) -> DataFrame:
