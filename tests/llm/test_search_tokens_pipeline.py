@@ -1,0 +1,143 @@
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from llm.helpers import labels, odd_rows, prose, table
+from vexil.llm import bpe, minhash_dedup, pivot_search as ps, quality_classifier
+from vexil.llm.common import read_table
+
+
+def brute(rows, k):
+    good = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    dims = [len(v) for _, v in good]
+    dim = max(set(dims), key=lambda d: (dims.count(d), -d))
+    good = [(i, v) for i, v in good if len(v) == dim]
+    return {(n, i): [round(float(d), 6) for d in sorted(np.sqrt(((v - w) ** 2).sum()) for m, (_, w) in enumerate(good) if m != n)[:k]] for n, (i, v) in enumerate(good)}
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_neighbours_match_brute_force(spark, block):
+    rng = np.random.default_rng(block)
+    v = np.concatenate([rng.normal(size=(150, 6)), rng.normal(size=(60, 6)) * 0.05 + 3, np.zeros((15, 6))])
+    rows = [(int(i), [float(np.float32(x)) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("v", F.lit(1))
+    got = {}
+    for r in ps.nearest_neighbours(df, 7, block=block).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = (r.distance, r.neighbour_id)
+    for (_, i), want in brute(rows, 7).items():
+        assert [got[i][r + 1][0] for r in range(7)] == want
+        pairs = [got[i][r + 1] for r in range(7)]
+        assert pairs == sorted(pairs) and i not in {n for _, n in pairs}
+
+
+def test_unusable_vectors_are_left_out(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [1.0]), (5, [None, 1.0]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (None, [0.0, 1.0]), (8, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.neighbour_id, r.rank, r.distance) for r in ps.nearest_neighbours(df, 5).collect())
+    assert got == [(1, 2, 1, 1.0), (1, 2, 2, 1.0), (2, 1, 2, 1.0), (2, 1, 2, 1.0), (2, 2, 1, 0.0), (2, 2, 1, 0.0)]
+    assert ps.nearest_neighbours(df.limit(0)).count() == 0 and ps.nearest_neighbours(df.limit(1)).count() == 0 and ps.nearest_neighbours(df, 0).count() == 0
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return bpe.compile_ranks()
+
+
+@pytest.fixture(scope="module")
+def reference_encoding():
+    import tiktoken
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("brute", pat_str=pattern, mergeable_ranks=bpe.read_ranks(), special_tokens={})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
+def test_any_text_is_encoded_as_merging_does(automaton, reference_encoding, text):
+    ids = automaton.encode(text)
+    assert ids.tolist() == reference_encoding.encode_ordinary(text) and automaton.decode(ids) == text
+
+
+def test_corpus_is_encoded_as_merging_does(spark, sf_dir, reference_encoding):
+    docs = read_table(spark, sf_dir, "documents")
+    got = {r.doc_id: r for r in bpe.encode(docs.select("doc_id", "text")).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        assert got[r.doc_id].token_ids == reference_encoding.encode_ordinary(r.text) and got[r.doc_id].round_trip
+
+
+def test_small_merge_lists():
+    # any list of merges over two letters, against merging step by step
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        tokens, merges = [b"a", b"b"], []
+        while len(merges) < 8:
+            u, v = rng.integers(0, len(tokens), 2)
+            if len(tokens[u] + tokens[v]) < 9 and tokens[u] + tokens[v] not in tokens:
+                merges.append((int(u), int(v), len(tokens)))
+                tokens.append(tokens[u] + tokens[v])
+        a = bpe.Automaton({t: i for i, t in enumerate(tokens)}, merges)
+        for _ in range(40):
+            parts = [int(x) for x in rng.integers(0, 2, rng.integers(1, 16))]
+            word = b"".join(tokens[p] for p in parts)
+            for u, v, uv in merges:
+                i = 0
+                while i < len(parts) - 1:
+                    if (parts[i], parts[i + 1]) == (u, v):
+                        parts[i : i + 2] = [uv]
+                    i += 1
+            assert a.encode_word(word) == parts, (tokens, merges, word)
+
+
+def test_tokens_of_odd_rows(spark):
+    docs = table(spark, odd_rows(), clash=True)
+    got = bpe.encode(docs)
+    rows = got.collect()
+    assert len(rows) == len(odd_rows()) and all((r.token_ids is None) == (r.n_chars is None) and r.round_trip is not False for r in rows)
+    assert {r["__key"] for r in rows} == {"a"} and sum(r.n_tokens == 0 for r in rows) == 1
+    back = bpe.decode(got.drop("n_chars")).select("text").collect()
+    assert sorted((r.text for r in back), key=str) == sorted((r[1] for r in odd_rows()), key=str)
+    assert bpe.encode(table(spark, [])).count() == 0
+
+
+def test_pipeline_keeps_what_its_stages_keep(spark, sf_dir):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5 and "near" in names[2].lower()
+    docs, columns = read_table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "n_chars"]
+    marks = read_table(spark, sf_dir, "labels")
+    sizes = [docs.count()]
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept
+        kept = stage(spark, before, sf_dir).cache()
+        assert kept.columns == columns, name
+        sizes.append(kept.count())
+        if name == "quality classifier":
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality_classifier.classify(docs, marks).collect())
+        if name == "line dedup":
+            seen = [x for r in kept.collect() for x in r.text.split("\n") if x.strip(" ")]
+            assert len(seen) == len(set(seen))
+            assert kept.where("n_chars <> length(text)").count() == 0
+        if name == "MinHash near-dedup":
+            assert minhash_dedup.near_duplicates(kept).count() <= 2
+        if name.startswith("mixing"):
+            clean = marks.where("quality = 1 AND toxic = 0").select("doc_id")
+            had, has = before.join(clean, "doc_id", "left_semi").count(), kept.join(clean, "doc_id", "left_semi").count()
+            assert has > 0.97 * had
+    assert all(a >= b for a, b in zip(sizes, sizes[1:])) and sizes[-1] > 0.5 * sizes[0]
+    final = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
+    assert final.count() == sizes[-1] and final.where("NOT round_trip").count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    marks = [(i, 1, 0) for i in range(0, 40)] + [(i, 0, 0) for i in range(100, 120)] + [(i, 1, 1) for i in range(200, 230)]
+    rows = [(i, prose(20, i), "en", "web") for i in range(40)] + [(i, " ".join(w + "%%%" for w in prose(20, i).split()), "en", "web") for i in range(100, 120)] + [(i, prose(20, i) + " trash vermin scum", "en", "web") for i in range(200, 230)]
+    table(spark, rows + odd_rows(), clash=True).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, marks).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() > 40 and {"doc_id", "token_ids", "__key"} <= set(got.columns)
+    table(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    labels(spark, []).write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
