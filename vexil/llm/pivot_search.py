@@ -7,10 +7,11 @@ pivot, cut into at most BLOCK rows), each with the range of its pivot distances.
 
 First each block is searched for itself, which gives every query a distance within which its k nearest must lie. Then a
 query block meets every block whose ranges allow a candidate within the largest of those distances; there candidates are
-evaluated in order of their bounds, chunk by chunk, until the next bound exceeds the k-th best distance. Whatever is
+evaluated in order of their bounds, chunk by chunk, until the next bound exceeds the k-th best distance, and of a chunk
+only the pairs whose own bound, the maximum over all pivots, lies within it. Whatever is
 skipped is farther than k others: the result is exact. A query block's partial results are merged by a top-k aggregate.
 
-Bounds allow for rounding by SLACK; distances are computed in double precision from differences. Ties go to the lower
+Bounds are in single precision and allow for its rounding by SLACK of the largest distance; distances are computed in double precision from differences. Ties go to the lower
 vec_id. Defined results: a vector is no neighbour of itself, but a row that repeats it (same vec_id too) is one, at
 distance 0. Null vectors, vectors with a null or non-finite element, of another dimension than the most common one, or
 with a null id are left out, as queries and as candidates. With k or fewer others, all are returned. Other columns are
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vexil.llm.common import materialise, partitions_for
 
-K, PIVOTS, SAMPLE, BLOCK, CHUNK = 10, 32, 2000, 1024, 64
+K, PIVOTS, SAMPLE, BLOCK, CHUNK = 10, 32, 2000, 2048, 128
 SLACK = 1e-6
 
 
@@ -61,11 +62,6 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def rough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same by a matrix product, up to rounding; for elimination only."""
-    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * (a @ b.T), 0))
-
-
 class Nearest:
     """The k nearest so far of each query of a block: distances and ids, sorted by both."""
 
@@ -91,35 +87,46 @@ class Nearest:
 
 
 def search_block(near: Nearest, q_pivots: np.ndarray, limit: np.ndarray, c: np.ndarray, c_ids: np.ndarray, c_pivots: np.ndarray, own: bool) -> None:
-    """Evaluates the candidates of a block in order of their bounds until no bound lies within the k-th best distance; own: the block is the queries' own."""
-    bound = np.zeros((len(q_pivots), len(c)))
-    for p in range(q_pivots.shape[1]):
-        np.maximum(bound, np.abs(q_pivots[:, p, None] - c_pivots[None, :, p]), out=bound)
-    if own:
-        np.fill_diagonal(bound, np.inf)
-    # a bound by the best pivot of all; order by its least over the block's queries, chunk by chunk
-    order = np.argsort(bound.min(axis=0), kind="stable")
+    """Evaluates the candidates of a block in order of their bounds (against all queries at once) until the next bound exceeds every k-th best distance; before, each chunk's pairs are eliminated by their own bounds. own: the block is the queries' own."""
+    if not len(c) or not len(near.q):
+        return
+    slack = SLACK * (1 + float(max(q_pivots.max(), c_pivots.max())))
+    ahead = np.maximum(q_pivots.min(axis=0) - c_pivots, c_pivots - q_pivots.max(axis=0)).max(axis=1)
+    order = np.argsort(ahead, kind="stable")
+    q_rows, c_rows = np.ascontiguousarray(q_pivots.T), c_pivots.T
+    q_squares, c_squares = (near.q**2).sum(axis=1), (c**2).sum(axis=1)
+    shape = (len(near.q), min(CHUNK, len(c)))
+    bound, gap = np.empty(shape, np.float32), np.empty(shape, np.float32)
     for s in range(0, len(order), CHUNK):
         part = order[s : s + CHUNK]
-        least = np.minimum(near.d[:, -1], limit) + SLACK
-        if not (bound[:, order[s:]].min(axis=1) <= least).any():
+        least = np.minimum(near.d[:, -1], limit) + slack
+        if ahead[part[0]] > least.max():
             break
-        live = (bound[:, part] <= least[:, None]) & np.isfinite(bound[:, part])
+        b, g = bound[:, : len(part)], gap[:, : len(part)]
+        b[:] = 0
+        for mine, theirs in zip(q_rows, c_rows):
+            np.subtract(mine[:, None], theirs[part], out=g)
+            np.abs(g, out=g)
+            np.maximum(b, g, out=b)
+        live = b <= least[:, None]
+        if own:
+            live[part, np.arange(len(part))] = False
         rows = np.flatnonzero(live.any(axis=1))
         if not len(rows):
             continue
-        d = np.where(live[rows], rough(near.q[rows], c[part]), np.inf)
-        if len(part) > near.k:
-            cut = np.partition(d, near.k - 1, axis=1)[:, near.k - 1]
-            least = np.minimum(least[rows], cut + SLACK)
-        else:
-            least = least[rows]
-        i, j = np.nonzero(live[rows] & (d <= least[:, None] + SLACK))
-        near.add(rows[i], part[j], c, c_ids)
+        if len(rows) == len(live):
+            rows = slice(None)
+        d = np.where(live[rows], q_squares[rows, None] + c_squares[part] - 2 * (near.q[rows] @ c[part].T), np.inf)
+        least = least[rows]
+        if np.isinf(least).any() and len(part) > near.k:
+            cut = np.sqrt(np.maximum(np.partition(d, near.k - 1, axis=1)[:, near.k - 1], 0))
+            least = np.minimum(least, cut + slack)
+        i, j = np.nonzero(live[rows] & (d <= ((least + slack) ** 2)[:, None]))
+        near.add(i if isinstance(rows, slice) else rows[i], part[j], c, c_ids)
 
 
-def _matrix(x: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(x, np.float64).reshape(rows, -1)
+def _matrix(x: bytes, rows: int, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(x, kind).reshape(rows, -1)
 
 
 def blocks_of(rows: DataFrame, pivots: np.ndarray, block: int, partitions: int) -> DataFrame:
@@ -132,17 +139,27 @@ def blocks_of(rows: DataFrame, pivots: np.ndarray, block: int, partitions: int)
                 cell = distances(v, pivots).argmin(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell)], ["id", "v", "cell"])
 
-    def pack(batches):
+    def full(batches):
+        """Runs of block rows, whatever the size of the batches."""
+        held, n = [], 0
         for batch in batches:
-            n = batch.num_rows
-            for s in range(0, n, block):
-                part = batch.slice(s, min(block, n - s))
-                v = np.ascontiguousarray(part.column("v").flatten().to_numpy().reshape(part.num_rows, -1))
-                p = distances(v, pivots)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.num_rows]), pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.array([p.min(axis=0).tolist()]), pa.array([p.max(axis=0).tolist()])],
-                    ["n", "ids", "vectors", "pivots", "low", "high"],
-                )
+            while n + batch.num_rows >= block:
+                yield pa.Table.from_batches([*held, batch.slice(0, block - n)])
+                batch, held, n = batch.slice(block - n), [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if n:
+            yield pa.Table.from_batches(held)
+
+    def pack(batches):
+        for part in full(batches):
+            v = np.ascontiguousarray(part.column("v").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1))
+            p = distances(v, pivots).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.num_rows]), pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))],
+                ["n", "ids", "vectors", "pivots", "low", "high"],
+            )
 
     celled = rows.mapInArrow(cells, "id long, v array<double>, cell int")
     ordered = celled.repartitionByRange(partitions, "cell", F.xxhash64("id")).sortWithinPartitions("cell", "id")
@@ -163,7 +180,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, id_column: str = "vec_id"
     def first(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                q, p, ids = _matrix(r["vectors"], r["n"]), _matrix(r["pivots"], r["n"]), np.frombuffer(r["ids"], np.int64)
+                q, p, ids = _matrix(r["vectors"], r["n"]), _matrix(r["pivots"], r["n"], np.float32), np.frombuffer(r["ids"], np.int64)
                 near = Nearest(q, k)
                 search_block(near, p, np.full(r["n"], np.inf), q, ids, p, True)
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([near.d[:, -1].tobytes()], pa.binary()), pa.array([float(near.d[:, -1].max())])], ["block", "limits", "reach"])
@@ -172,14 +189,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, id_column: str = "vec_id"
     queries = table.join(limits, "block").select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivots").alias("q_pivots"), F.col("low").alias("q_low"), F.col("high").alias("q_high"), "limits", "reach")
     # the least that two vectors of the blocks can be apart: the largest gap between their ranges over all pivots
     gap = F.expr("array_max(transform(arrays_zip(q_low, q_high, low, high), x -> greatest(x.q_low - x.high, x.low - x.q_high, double(0))))")
-    meets = queries.crossJoin(table).where(gap <= F.col("reach") + F.lit(SLACK)).select("q_block", "q_n", "q_ids", "q_vectors", "q_pivots", "limits", "block", "n", "ids", "vectors", "pivots")
+    meets = queries.crossJoin(table).where(gap <= F.col("reach") + F.lit(2 * SLACK) * (1 + F.array_max("high") + F.array_max("q_high"))).select("q_block", "q_n", "q_ids", "q_vectors", "q_pivots", "limits", "block", "n", "ids", "vectors", "pivots")
 
     def second(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
                 near = Nearest(_matrix(r["q_vectors"], r["q_n"]), k)
-                search_block(near, _matrix(r["q_pivots"], r["q_n"]), np.frombuffer(r["limits"], np.float64), _matrix(r["vectors"], r["n"]), np.frombuffer(r["ids"], np.int64), _matrix(r["pivots"], r["n"]), r["q_block"] == r["block"])
+                search_block(near, _matrix(r["q_pivots"], r["q_n"], np.float32), np.frombuffer(r["limits"], np.float64), _matrix(r["vectors"], r["n"]), np.frombuffer(r["ids"], np.int64), _matrix(r["pivots"], r["n"], np.float32), r["q_block"] == r["block"])
                 real = np.isfinite(near.d)
                 row = np.nonzero(real)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r["q_block"])), pa.array(row.astype(np.int32)), pa.array(np.frombuffer(r["q_ids"], np.int64)[row]), pa.array(near.i[real]), pa.array(near.d[real])], ["q_block", "row", "id", "neighbour_id", "d"])
