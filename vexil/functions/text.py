@@ -66,10 +66,12 @@ def pack_id() -> Column:
 
 def unpack_id(packed: Column) -> list[Column]:
     """The FIELDS of a packed id."""
+    # remainders and exact divisions only: the quotient of two long decimals is rounded
+    number = lambda n: F.lit(str(n)).cast("decimal(25,0)")
     out, shift = [], 0
     for name, bits in FIELDS.items():
-        low = F.floor(packed.cast("decimal(25,0)") / F.lit(str(1 << shift)).cast("decimal(25,0)"))
-        out.append((low.cast("decimal(25,0)") % F.lit(1 << bits).cast("decimal(25,0)")).cast("long").alias(name))
+        upto = packed.cast("decimal(25,0)") % number(1 << shift + bits)
+        out.append(((upto - upto % number(1 << shift)) / number(1 << shift)).cast("long").alias(name))
         shift += bits
     return out
 
