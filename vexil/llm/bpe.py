@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vexil.llm.common import string_buffers, sub_batches
+from vexil.llm.common import map_texts, string_buffers, sub_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = True) -> Data
                     columns.append(pa.array([None if t is None else a.decode(i) == t for t, i in zip(texts, ids)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, T.StructType([*kept, *new]))
+    return map_texts(docs, run, T.StructType([*kept, *new]))
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -228,4 +228,4 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [None if i is None else a.decode(i) for i in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())], names)
 
-    return tokens.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+    return map_texts(tokens, run, T.StructType([*kept, T.StructField("text", T.StringType())]))

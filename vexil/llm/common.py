@@ -19,6 +19,7 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
 #: Text bytes that are handled at once; a longer document is handled alone.
 SUB_BATCH_BYTES = 1 << 19
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -146,6 +147,14 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow for rows with texts. Unless the session says otherwise, batches have BATCH_ROWS rows: buffers of ten thousand texts on either side of the pipe cost executors hundreds of MB."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == "10000":
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def set_aside(docs: DataFrame, own: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with the columns that clash with own, or start with two underscores, in one struct; and what takes them out of it again."""
     odd = [c for c in docs.columns if c.startswith("__") or c.lower() in own]

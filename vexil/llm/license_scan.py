@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vexil.llm.common import map_texts
+
 COPYRIGHT = "<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;name=holder;words=1-20>><<endOptional>> <<beginOptional>>All rights reserved.<<endOptional>>"
 AS_IS = 'THIS SOFTWARE IS PROVIDED BY <<var;name=who;words=1-12>> "AS IS" AND ANY <<beginOptional>>EXPRESS OR<<endOptional>> <<beginOptional>>EXPRESSED OR<<endOptional>> IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
 REDISTRIBUTION = (
@@ -200,7 +202,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             columns = list(zip(*found)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], schema.names)
 
-    return maybe.mapInArrow(run, schema)
+    return map_texts(maybe, run, schema)
 
 
 def pattern(items: list) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexil.llm.common import drop_table, materialise, partitions_for, set_aside, shared_dir, text_key
+from vexil.llm.common import drop_table, map_texts, materialise, partitions_for, set_aside, shared_dir, text_key
 
 BATCHES, FANOUT = 8, 4
 PLACE = ["doc_id", "key", "line_no"]
@@ -123,7 +123,7 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             columns = [pa.array(out, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(use, pa.bool_()))
 
-    return back(joined.mapInArrow(run, docs.schema)).select(columns)
+    return back(map_texts(joined, run, docs.schema)).select(columns)
 
 
 SQL = """

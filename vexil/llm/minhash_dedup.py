@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vexil.llm.common import U64, WORDS, documents_of, materialise, mix, set_aside, string_buffers, sub_batches, text_key, token_hashes
+from vexil.llm.common import U64, WORDS, documents_of, map_texts, materialise, mix, set_aside, string_buffers, sub_batches, text_key, token_hashes
 from vexil.llm.components import connected_components
 
 SHINGLE, HASHES, ROWS, BITS = 3, 256, 4, 2
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_texts(source, run, schema)
 
 
 def _runs(batches, key: str):

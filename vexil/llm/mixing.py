@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import SPACED, materialise, set_aside, string_buffers, sub_batches, text_key, token_hashes
+from vexil.llm.common import SPACED, map_texts, materialise, set_aside, string_buffers, sub_batches, text_key, token_hashes
 from vexil.llm.quality_classifier import BITS, MAX_LABELLED, dual_coordinate_descent, feature_rows, indicators, labelled_rows, log_count_ratios, sums
 
 DOMAINS = ("clean", "low", "toxic")
@@ -107,7 +107,7 @@ def with_posteriors(docs: DataFrame, model, text: bool = True) -> DataFrame:
                 p[a:b] = model.value.posteriors(*indicators(data, offsets[a : b + 1]))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(n), *map(pa.array, np.ascontiguousarray(p.T))], names)
 
-    return docs.mapInArrow(run, T.StructType([*kept, *new]))
+    return map_texts(docs, run, T.StructType([*kept, *new]))
 
 
 class Rates:
@@ -126,6 +126,11 @@ class Rates:
             r = new
         return r, y
 
+    def draw(self, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates, and the copies that u decides on."""
+        r = np.round(self.replay(p)[0], 6)
+        return r, np.floor(r).astype(np.int64) + (u < r - np.floor(r))
+
 
 def solve(table: DataFrame, targets: dict[str, float], spend: str | None = None, max_rate: float | None = None, ridge: float = 1e-3, steps: int = 80, tolerance: float = 2e-4) -> Rates:
     """Rates for table(n_tokens, p_...). Targets are shares of as many words as there are or, where spend names a domain, of as many as use up that domain's at rate 1."""
@@ -157,6 +162,11 @@ def solve(table: DataFrame, targets: dict[str, float], spend: str | None = None,
     return rates
 
 
+def chance(key: Column, seed: int = 11) -> Column:
+    """A number in [0, 1) that a row always gets again."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), key), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
 def with_rates(rows: DataFrame, rates: Rates, seed: int = 11) -> DataFrame:
     """rows with rate, rounded to 6 digits, and copies: its whole part, and one more with the probability of the rest, decided by a hash of document and text key."""
     new = [T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())]
@@ -166,12 +176,10 @@ def with_rates(rows: DataFrame, rates: Rates, seed: int = 11) -> DataFrame:
     def run(batches):
         for batch in batches:
             p = np.column_stack([batch.column(c).to_numpy() for c in POSTERIORS])
-            r = np.round(rates.replay(p)[0], 6)
-            copies = np.floor(r).astype(np.int64) + (batch.column("__u").to_numpy() < r - np.floor(r))
+            r, copies = rates.draw(p, batch.column("__u").to_numpy())
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(r), pa.array(copies)], names)
 
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__key")), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    return rows.withColumn("__u", u).select(*[f.name for f in kept], "__u").mapInArrow(run, T.StructType([*kept, *new])).drop("__key")
+    return rows.withColumn("__u", chance(F.col("__key"), seed)).select(*[f.name for f in kept], "__u").mapInArrow(run, T.StructType([*kept, *new])).drop("__key")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, spend: str | None = None, max_rate: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -185,9 +193,17 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, spend: str | None = None, max_rate: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs, each row as often as its copies say. Posteriors are made twice, so that texts need neither be written nor shuffled."""
     columns = docs.columns
-    docs, back = set_aside(docs, ("n_tokens", "rate", "copies", *POSTERIORS))
+    docs, back = set_aside(docs)
     model = docs.sparkSession.sparkContext.broadcast(fit_domains(docs, labels, max_labelled))
-    keyed = docs.withColumn("__key", text_key())
-    table = materialise(with_posteriors(docs.select("doc_id", "text"), model, text=False), "posteriors")
-    drawn = with_rates(with_posteriors(keyed, model), solve(table, targets, spend, max_rate)).where("copies > 0")
-    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("__copy", "n_tokens", "rate", "copies", *POSTERIORS).transform(back).select(columns)
+    rates = solve(materialise(with_posteriors(docs.select("text"), model, text=False), "posteriors"), targets, spend, max_rate)
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = string_buffers(batch.column("text"))
+            p = [model.value.posteriors(*indicators(data, offsets[a : b + 1])) for a, b in sub_batches(offsets)]
+            if p:
+                copies = rates.draw(np.concatenate(p), batch.column("__u").to_numpy())[1]
+                yield batch.select(names).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
+
+    return back(map_texts(docs.withColumn("__u", chance(text_key())), run, docs.schema)).select(columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import CLASS, U64, documents_of, mix, string_buffers, sub_batches, token_hashes
+from vexil.llm.common import CLASS, U64, documents_of, map_texts, mix, string_buffers, sub_batches, token_hashes
 
 BITS = 18
 MAX_LABELLED = 8000
@@ -104,7 +104,7 @@ def feature_rows(joined: DataFrame, columns: list[str], bits: int = BITS) -> Dat
                 packed += [found[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in columns], pa.array(packed, pa.binary())], ["doc_id", *columns, "features"])
 
-    return joined.mapInArrow(run, T.StructType([joined.schema["doc_id"], *[joined.schema[c] for c in columns], T.StructField("features", T.BinaryType())]))
+    return map_texts(joined, run, T.StructType([joined.schema["doc_id"], *[joined.schema[c] for c in columns], T.StructField("features", T.BinaryType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BITS, c: float = 1.0) -> tuple[np.ndarray, np.ndarray, float] | None:
@@ -143,4 +143,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, max_lab
             out = pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(scores, pa.float64(), from_pandas=True)], [*[f.name for f in kept], SCORE])
             yield out if keep_all else out.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(SCORE, T.DoubleType())]))
+    return map_texts(docs, run, T.StructType([*kept, T.StructField(SCORE, T.DoubleType())]))

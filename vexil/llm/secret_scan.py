@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vexil.llm.common import map_texts
+
 #: What every secret has: armour, or a run of at least 19 of these (the shortest header of a signed token).
 PREFILTER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{19,}+|-----BEGIN "
 ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
@@ -214,4 +216,4 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema.names)
 
-    return maybe.mapInArrow(run, schema)
+    return map_texts(maybe, run, schema)

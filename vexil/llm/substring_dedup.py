@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import U64, documents_of, materialise, mix, powers, string_buffers, sub_batches, text_key, token_hashes
+from vexil.llm.common import U64, documents_of, map_texts, materialise, mix, powers, string_buffers, sub_batches, text_key, token_hashes
 
 MIN_WORDS, GRAM = 50, 8
 SHARD_BLOCKS, HOT = 4000, 4000
@@ -182,7 +182,7 @@ def block_table(docs: DataFrame, min_words: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_texts(source, run, schema)
 
 
 def with_words(docs: DataFrame, wanted: DataFrame, columns: list[str], min_words: int) -> DataFrame:
@@ -204,7 +204,7 @@ def with_words(docs: DataFrame, wanted: DataFrame, columns: list[str], min_words
                 yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in columns], pa.array([h[s:e].tobytes() for s, e in zip(start, end)], pa.binary())], [*columns, "words"])
 
     fields = [wanted.schema[c] for c in columns]
-    return joined.mapInArrow(run, T.StructType([*fields, T.StructField("words", T.BinaryType())]))
+    return map_texts(joined, run, T.StructType([*fields, T.StructField("words", T.BinaryType())]))
 
 
 def search_shards(contents: DataFrame, shards: int, min_words: int) -> DataFrame:
