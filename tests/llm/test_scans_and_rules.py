@@ -90,6 +90,42 @@ def test_only_secrets_of_right_structure_are_reported(spark):
     assert len(twice) == 3 and rows[8][1][twice[0].start : twice[0].end] == random_hex
 
 
+def test_keys_in_hex_assigned_keys_dsa_and_cloud_secrets(spark):
+    rng = np.random.default_rng(3)
+    key, number = rsa(), lambda n: der(2, b"\x01" + rng.bytes(n - 1))
+    p, q, g, y, x = (number(n) for n in (129, 21, 128, 128, 20))
+    dsa = der(0x30, der(2, b"\0") + p + q + g + y + x)
+    dsa8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\xce\x38\x04\x01") + der(0x30, p + q + g)) + der(4, x))
+    ed = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, rng.bytes(32))))
+    field = lambda b: struct.pack(">I", len(b)) + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + struct.pack(">I", 1) + field(b"p" * 51) + field(b"q" * 136)
+    armour = lambda body, name="": f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----"
+    lines = lambda text: "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
+    plain = lambda b: base64.b64encode(b).decode()
+    cloud = plain(rng.bytes(30))
+    small = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([i])) for i in range(5)))
+    want = {
+        f"k {key.hex()}": ("private_key_der", len(key)),
+        f"k {key.hex().upper()} z": ("private_key_der", len(key)),
+        f"k 0x{ssh.hex()}": ("private_key_openssh", len(ssh)),
+        armour(lines(key.hex()), "RSA "): ("private_key_der", len(key)),
+        f"signing_key={key.hex()}": ("private_key_der", len(key)),
+        f"signing_key={plain(ssh)}": ("private_key_openssh", len(ssh)),
+        f"key: {plain(ed)}": ("private_key_der", len(ed)),
+        f"aws_secret_access_key = {cloud}": ("assigned_key", 30),
+        armour(lines(plain(dsa)), "DSA "): ("private_key_der", len(dsa)),
+        armour(lines(plain(dsa8))): ("private_key_der", len(dsa8)),
+        f"k {key[:-9].hex()}": None,
+        f"k {key.hex()}0": None,
+        f"k {rng.bytes(64).hex()}": None,
+        armour(plain(small + small)): None,
+        armour(plain(small), "DSA "): None,
+        f"checksum = {cloud}": None,
+    }
+    found = {r.doc_id: (r.kind, r.n_bytes) for r in ss.scan(table(spark, list(enumerate(want)))).collect()}
+    assert found == {i: w for i, w in enumerate(want.values()) if w}
+
+
 def test_fences_follow_the_quartiles(spark):
     rows = [(i, prose(30, i), "en" if i % 2 else "de", "web") for i in range(200)] + [(1000, "### $$$ %%% &&& a", "en", "web"), (1001, "ABCDEF GHIJKL MNOPQR " * 5, "de", "web")]
     docs = table(spark, rows)

@@ -3,9 +3,10 @@
 Candidates are long runs of base64 or hex characters and words that start like known tokens. A candidate is reported
 only if, decoded, it has the structure it claims:
 
-- private_key_der: base64 of a DER SEQUENCE whose nested lengths add up to its end and which reads as a PKCS#1 or SEC1
-  private key, or as a PKCS#8 one whose inner key is one of those or an octet string (PEM armour may wrap it over lines)
-- private_key_openssh: base64 that starts with the OpenSSH magic and whose length-prefixed fields fit
+- private_key_der: base64 or hex of a DER SEQUENCE whose nested lengths add up to its end and which reads as a PKCS#1,
+  SEC1 or DSA private key, or as a PKCS#8 one whose inner key is one of those, an octet string or, with parameters, an
+  integer (bare, assigned to a name, or in PEM armour, which may wrap it over lines)
+- private_key_openssh: the same of data that starts with the OpenSSH magic and whose length-prefixed fields fit
 - signed_token: three base64url parts; the header and the claims are JSON objects, the header names an algorithm and, but
   for "none", the signature has the length that algorithm gives
 - checksum_token: a prefixed token of 36 base62 characters of which the last 6 are the CRC-32 of the others
@@ -42,7 +43,7 @@ KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])
 ASSIGNED = re.compile(r"(?i)(?<![A-Za-z0-9])[a-z0-9_.-]*(?:key|token|secret|passw(?:or)?d|credential)[a-z0-9_.-]*[\"']?\s*(?:=>|[:=])\s*[\"']?([A-Za-z0-9+/_=-]{20,})")
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{80,}={0,2}(?![A-Za-z0-9+/_=-])")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-KEY_SIZES = {16, 20, 24, 28, 32, 40, 48, 64}
+KEY_SIZES = {16, 20, 24, 28, 30, 32, 40, 48, 64}
 SIGNATURE = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "ES384": {96}, "ES512": {132}, "EdDSA": {64, 114}}
 
 
@@ -57,6 +58,12 @@ def decode_base64(text: str) -> bytes | None:
         return None
 
 
+def decode_hex(text: str) -> bytes | None:
+    """Digits of either case, 0x in front optional; None if they aren't whole bytes."""
+    m = re.fullmatch(r"(?:0[xX])?((?:[0-9A-Fa-f]{2})+)", text)
+    return bytes.fromhex(m[1]) if m else None
+
+
 def der_elements(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of DER elements that fill data exactly; None if a length doesn't fit or isn't minimal."""
     out, at = [], 0
@@ -92,9 +99,14 @@ def is_der_key(data: bytes) -> bool:
         return True  # PKCS#1
     if version == 1 and len(parts) >= 2 and tags[1] == 0x04 and len(parts[1][1]) in (20, 24, 28, 32, 48, 66) and all(t in (0xA0, 0xA1) for t in tags[2:]):
         return True  # SEC1
+    if version == 0 and len(parts) == 6 and all(t == 0x02 for t in tags) and len(parts[1][1]) >= 64 and 20 <= len(parts[2][1]) <= 33:
+        return True  # DSA: p, q, g, y, x
     if version in (0, 1) and len(parts) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:  # PKCS#8
-        algorithm = der_elements(parts[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and (is_der_key(parts[2][1]) or bool(der_elements(parts[2][1])) and parts[2][1][0] == 0x04)
+        algorithm, inner = der_elements(parts[1][1]), der_elements(parts[2][1])
+        if not algorithm or algorithm[0][0] != 0x06 or not inner:
+            return False
+        number = len(inner) == 1 and inner[0][0] == 0x02 and [t for t, _ in algorithm] == [0x06, 0x30]  # DSA, with p, q, g as parameters
+        return number or inner[0][0] == 0x04 or is_der_key(parts[2][1])
     return False
 
 
@@ -128,6 +140,14 @@ def key_kind(data: bytes | None) -> str | None:
     return "private_key_openssh" if is_openssh_key(data) else "private_key_der" if data[0] == 0x30 and is_der_key(data) else None
 
 
+def key_in(text: str) -> tuple[str, int] | None:
+    """Kind and size of the private key that text is, as base64 or as hex."""
+    for data in (decode_base64(text), decode_hex(text)):
+        if kind := key_kind(data):
+            return kind, len(data)
+    return None
+
+
 def is_signed_token(header: str, claims: str, signature: str) -> bool:
     parts = [decode_base64(header), decode_base64(claims)]
     try:
@@ -173,13 +193,11 @@ def find_secrets(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, decoded size) in order, none overlapping; offsets in characters."""
     found = []
     for m in ARMOUR.finditer(text):
-        data = decode_base64(re.sub(r"\s|\\[nr]", "", m[2]))
-        if kind := key_kind(data):
-            found.append((m.start(), m.end(), kind, len(data)))
+        if key := key_in(re.sub(r"\s|\\[nr]", "", m[2])):
+            found.append((m.start(), m.end(), *key))
     for m in BARE.finditer(text):
-        data = decode_base64(m[0])
-        if kind := key_kind(data):
-            found.append((m.start(), m.end(), kind, len(data)))
+        if key := key_in(m[0]):
+            found.append((m.start(), m.end(), *key))
     for m in TOKEN.finditer(text):
         if m[1].startswith("e") and is_signed_token(*m.groups()):
             found.append((m.start(), m.end(), "signed_token", len(decode_base64(m[3]) or b"")))
@@ -191,7 +209,9 @@ def find_secrets(text: str) -> list[tuple[int, int, str, int]]:
         if account > 0:
             found.append((m.start(), m.end(), "access_key_id", 10))
     for m in ASSIGNED.finditer(text):
-        if size := assigned_size(m[1]):
+        if key := key_in(m[1]):
+            found.append((m.start(1), m.end(1), *key))
+        elif size := assigned_size(m[1]):
             found.append((m.start(1), m.end(1), "assigned_key", size))
     out: list[tuple[int, int, str, int]] = []
     for f in sorted(set(found)):
