@@ -34,6 +34,39 @@ def test_many_queries_by_broadcast_and_by_join(spark, monkeypatch):
     assert a == get() and len(a) == 36
 
 
+@pytest.mark.parametrize("metric", ["dot", "cosine"])
+def test_every_vector_is_searched_for_by_blocks(spark, monkeypatch, metric):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 16)).astype(np.float32)
+    x[40:60], x[70] = x[3], 0
+    rows = frame(spark, x).unionByName(spark.createDataFrame([(900, None), (901, [1.0, 2.0]), (902, [1.0, 2.0])], "id long, vector array<float>"))
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(search, "BLOCK_SCORES", 700)
+    queries = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    got: dict = {}
+    for r in search.search_many(rows, queries, 12, metric, "id").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    d = x.astype(float)
+    s = (d[:, None] * d[None]).sum(axis=2)
+    if metric == "cosine":
+        lengths = np.linalg.norm(d, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None]
+        s = np.where(lengths > 0, s / np.where(lengths > 0, lengths, 1), 0)
+    assert got.pop(901) == [901, 902] and got.pop(902) == [901, 902]
+    assert got == {i: sorted(range(150), key=lambda j: (-s[i, j], j))[:12] for i in range(150)}
+
+
+@pytest.mark.parametrize("name", ["search_every", "csv_whole_vectors"])
+def test_whole_jobs_leave_nothing_out(spark, sf_dir, name):
+    import __spark_entry__
+
+    e, got = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), __spark_entry__.queries()[name](spark, sf_dir)
+    if name == "search_every":
+        assert got.count() == 10 * e.count() and got.select("query_id").distinct().count() == e.count()
+    else:
+        assert {(r.a, r.b) for r in got.select(F.size("vector").alias("a"), F.size(F.split("csv", ",")).alias("b")).distinct().collect()} == {(64, 64)}
+
+
 def brute_kmeans(x, k, iterations):
     x, n = x.astype(np.float32).astype(float), len(x)
     c = x[[i * n // k for i in range(k)]]

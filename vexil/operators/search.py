@@ -8,13 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vexil.functions import vectors as V
 
 TOP_K = 10
-#: Queries or centroids of at most so many values are broadcast; more are joined by shuffle.
+#: Queries of at most so many values are broadcast and centroids too; more queries meet the rows by blocks.
 BROADCAST_VALUES = 4_000_000
+#: Queries are broadcast only if they are at most so many, as a task keeps the best of each.
+BROADCAST_QUERIES = 1000
+#: Rows and queries of a block, and scores held at once.
+BLOCK_ROWS, BLOCK_SCORES = 16_384, 8_000_000
 
 
 def score(vector: Column | str, query: Column | str, metric: str) -> Column:
@@ -33,15 +38,18 @@ def search_exact(vectors: DataFrame, query: Sequence[float], k: int = TOP_K, met
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = "dot", id_column: str = "embedding_id", vector_column: str = "vector") -> DataFrame:
-    """(query_id, id, score, rank) for queries(query_id, query). Each task keeps the k best of its rows for each query, by matrix product; those are merged by rank."""
+    """(query_id, id, score, rank) for queries(query_id, query). Few queries are broadcast: each task keeps the k best of its rows for each, by matrix product. Many meet the rows by pairs of blocks. The best are merged by rank."""
     if k < 1:
         return vectors.crossJoin(queries.limit(0)).select("query_id", id_column, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    rows = queries.where("query is not null").select("query_id", V.doubles("query").alias("query")).toArrow()
-    ids, q = rows.column("query_id").to_pylist(), rows.column("query").to_pylist()
-    if sum(map(len, q)) > BROADCAST_VALUES:
-        pairs = vectors.join(queries.withColumnRenamed("query", "__q"), F.size(vector_column) == F.size("__q"))
-        scored = pairs.select("query_id", id_column, score(vector_column, "__q", metric).alias("score"))
+    if metric not in ("dot", "cosine"):
+        raise ValueError(f"no such metric: {metric}")
+    queries = queries.where("query is not null")
+    n, values = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("query")), F.lit(0))).first()
+    if n > BROADCAST_QUERIES or values > BROADCAST_VALUES:
+        scored = _by_blocks(vectors, queries, n, k, metric, id_column, vector_column)
     else:
+        rows = queries.select("query_id", V.doubles("query").alias("query")).toArrow()
+        ids, q = rows.column("query_id").to_pylist(), rows.column("query").to_pylist()
         dims = sorted({len(x) for x in q})
         groups = {n: ([i for i, x in zip(ids, q) if len(x) == n], np.array([x for x in q if len(x) == n])) for n in dims}
         shared = vectors.sparkSession.sparkContext.broadcast(groups)
@@ -77,6 +85,56 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, metric:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _by_blocks(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, metric: str, id_column: str, vector_column: str) -> DataFrame:
+    """(query_id, id, score): the k best of each block of rows for each query. Rows and queries of a dimension are cut into blocks by hash; each pair of blocks is a group."""
+    usable = vectors.where(F.col(vector_column).isNotNull())
+    row_blocks, query_blocks = max(1, -(-usable.count() // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
+    block = lambda column, blocks: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = queries.select(F.size("query").alias("__n"), block("query_id", query_blocks).alias("__q"), every(row_blocks).alias("__r"), F.col("query_id").alias("a"), V.doubles("query").alias("x"))
+    right = usable.select(F.size(vector_column).alias("__n"), every(query_blocks).alias("__q"), block(id_column, row_blocks).alias("__r"), F.col(id_column).alias("b"), V.doubles(vector_column).alias("y"))
+    schema = T.StructType([T.StructField("query_id", left.schema["a"].dataType), T.StructField(id_column, right.schema["b"].dataType), T.StructField("score", T.DoubleType())])
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def best(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = [np.zeros((3, 0))]
+        if one.num_rows and two.num_rows:
+            two = two.sort_by("b")  # places follow the ids, so that they settle ties
+            q, x = matrix(one.column("x")), matrix(two.column("y"))
+            ql, xl = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+            for start in range(0, len(q) if q.shape[1] else 0, step := max(1, BLOCK_SCORES // len(x))):
+                s = q[start : start + step] @ x.T
+                if metric == "cosine":
+                    lengths = ql[start : start + step, None] * xl[None]
+                    s = np.where(lengths > 0, s / np.where(lengths > 0, lengths, 1), 0)
+                s[~np.isfinite(s)] = -np.inf
+                least = np.partition(s, len(x) - min(k, len(x)), axis=1)[:, len(x) - min(k, len(x))]
+                # products of equal rows may differ by rounding: all near the k-th are scored again, each in the same way
+                with np.errstate(invalid="ignore"):
+                    close = s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]
+                close |= np.isneginf(least)[:, None]
+                i, j = np.nonzero(close)
+                for at in range(0, len(i), 100_000):
+                    own, other = i[at : at + 100_000] + start, j[at : at + 100_000]
+                    exact = (q[own] * x[other]).sum(axis=1)
+                    if metric == "cosine":
+                        lengths = ql[own] * xl[other]
+                        exact = np.where(lengths > 0, exact / np.where(lengths > 0, lengths, 1), 0)
+                    s[own - start, other] = np.where(np.isfinite(exact), exact, -np.inf)
+                order = np.lexsort((j, -s[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < k], j[place < k]
+                found.append(np.array([i + start, j, s[i, j]]))
+        i, j, s = np.concatenate(found, axis=1)
+        return pa.Table.from_arrays([one.column("a").take(pa.array(i.astype(np.int64))), two.column("b").take(pa.array(j.astype(np.int64))), pa.array(s)], names=schema.names)
+
+    keys = ["__n", "__q", "__r"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, schema)
+
+
 def top_centroids(vectors: DataFrame, centroids: DataFrame, m: int = 2, id_column: str = "embedding_id", vector_column: str = "vector") -> DataFrame:
     """(id, top): the m centroids of highest dot product in order, the lower number first among equals. centroids(cid, centroid) are broadcast: there are few, and their size is checked."""
     scored = _pairs(vectors, centroids, id_column, vector_column).select(id_column, "cid", V.dot("__v", "centroid").alias("s"))

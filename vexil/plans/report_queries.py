@@ -106,6 +106,13 @@ def csv_vectors(spark, sf_dir):
     return c.withColumn("vector", V.parse_csv("csv"))
 
 
+@query("SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: (x * 1000)::BIGINT), ',') AS csv, list_transform(embedding, lambda x: (x * 1000)::BIGINT::FLOAT) AS vector FROM embeddings")
+def csv_whole_vectors(spark, sf_dir):
+    """All elements; csv_vectors has those of its SQL."""
+    c = embeddings(spark, sf_dir).select("id", V.to_csv(F.transform("vector", lambda x: F.rint(x * F.lit(1000).cast("float")).cast("long"))).alias("csv"))
+    return c.withColumn("vector", V.parse_csv("csv"))
+
+
 @query("SELECT event_id, user_id::DOUBLE AS ram_used_mb, 200.0::DOUBLE AS ram_total_mb, (user_id % 100)::DOUBLE AS gpu_percent, [(event_id % 7)::DOUBLE, NULL] AS cpu_percent FROM events")
 def monitor_lines(spark, sf_dir):
     e = _events(spark, sf_dir)

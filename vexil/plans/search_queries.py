@@ -58,6 +58,16 @@ def search_many(spark, sf_dir):
     return search.search_many(rows, queries, id_column="id").withColumn("score", F.round("score", 6))
 
 
+@query(f"""{E_SQL}, s AS (SELECT a.id AS query_id, b.id, list_dot_product(b.v, a.v) AS score FROM e a, e b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+def search_every(spark, sf_dir):
+    """Every vector is a query; search_many has those of its SQL."""
+    rows = embeddings(spark, sf_dir)
+    queries = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return search.search_many(rows, queries, id_column="id").withColumn("score", F.round("score", 6))
+
+
 @query(C_SQL + ", s AS (SELECT id, cid, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(v, c) DESC, cid) AS r FROM e, c) SELECT id, list(cid ORDER BY r) AS top FROM s WHERE r <= 2 GROUP BY id")
 def top_centroids(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
