@@ -139,6 +139,27 @@ def test_large_groups_are_clustered_by_passes_alike(spark, monkeypatch):
     assert a.keys() == b.keys() and sum(a[i] == b[i] for i in a) >= 76
 
 
+def test_dimensions_are_sampled_from_the_whole_table(spark, tmp_path):
+    import __spark_entry__
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4600, 6)).astype(np.float32)
+    x[:4096, 2:] *= 0.01  # the first ids lie near a plane
+    rows = frame(spark, x).select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"), F.lit(0).alias("label"))
+    rows.repartition(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    order = rows.select("vec_id", F.xxhash64(F.lit(1234), "vec_id").alias("h")).toPandas().sort_values(["h", "vec_id"])
+    ids = order["vec_id"].to_numpy()[:4096]
+    u = x[ids].astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    d = np.maximum(1e-9, 1 - np.clip(u @ u.T, -1, 1))
+    np.fill_diagonal(d, np.inf)
+    two = np.partition(d, 1, axis=1)[:, :2]
+    want = {i: np.log(2) / np.log(b / a) for i, (a, b) in zip(ids, two) if b > a * (1 + 1e-6)}
+    got = {r.id: r.m for r in __spark_entry__.queries()["local_dimensions"](spark, str(tmp_path)).collect()}
+    assert got.keys() <= set(ids) and want.keys() <= got.keys() and sum(i >= 4096 for i in got) > 300
+    assert sum(abs(got[i] - want[i]) <= 1e-3 * want[i] + 1e-4 for i in want) > 0.99 * len(want)
+
+
 def test_hierarchy_of_an_empty_table(spark):
     mids = spark.createDataFrame([], "id long, top_id long, mid long")
     gates = hierarchy.lower_gate(hierarchy.mid_ids(mids))

@@ -294,9 +294,9 @@ w AS (SELECT id, min(d) AS d1, max(d) AS d2 FROM r WHERE r <= 2 GROUP BY id), m
 
 
 def _dimensions(spark, sf_dir):
-    # the least ids stand for the sample by hash, so that SQL can have the same
-    unit = embeddings(spark, sf_dir).withColumn("vector", V.normalise("vector")).orderBy("id").limit(4096)
-    return agreement.local_dimensions(materialise(unit, "sample"))
+    # all rows up to 4096, beyond that a sample of the whole table; the SQL has the same rows only up to 4096
+    sample = agreement.sample_by_hash(embeddings(spark, sf_dir), 1234, ratio=1.0)
+    return agreement.local_dimensions(materialise(sample.withColumn("vector", V.normalise("vector")), "sample"))
 
 
 @query(D_SQL + " SELECT id, round(m, 4) AS m FROM m")
