@@ -160,6 +160,42 @@ def test_dimensions_are_sampled_from_the_whole_table(spark, tmp_path):
     assert sum(abs(got[i] - want[i]) <= 1e-3 * want[i] + 1e-4 for i in want) > 0.99 * len(want)
 
 
+def test_stability_of_several_seeds_matches_brute_force(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(120, 5)).astype(np.float32)
+    models, seeds, real = [], [], kmeans.spherical_kmeans
+
+    def recorded(placed, n, k, iterations, seed):
+        models.append(real(placed, n, k, iterations, seed)[0])
+        seeds.append(seed)
+        return models[-1], 0.0
+
+    monkeypatch.setattr(kmeans, "spherical_kmeans", recorded)
+    got = agreement.evaluate_stability(frame(spark, x), 4, runs=3, least_runs=3, iterations=3).first()
+    assert got.runs == 3 and seeds == [2234, 2235, 2236]
+    tops = [np.argsort(-(x.astype(float) @ c.T), axis=1, kind="stable")[:, :2] for c in models]
+    found = []
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        p = np.zeros((4, 4))
+        np.add.at(p, (tops[i][:, 0], tops[j][:, 0]), 1 / 120)
+        a, b, hit = p.sum(1), p.sum(0), p > 0
+        h = lambda q: -(q[q > 0] * np.log(q[q > 0])).sum()
+        nmi = (p[hit] * np.log(p[hit] / np.outer(a, b)[hit])).sum() / np.sqrt(h(a) * h(b))
+        found.append((nmi, np.mean([len({*s} & {*t}) / len({*s} | {*t}) for s, t in zip(tops[i], tops[j])]), agreement.centroid_drift(models[i], models[j])))
+    f = np.array(found)
+    assert np.allclose([got.mean_nmi, got.std_nmi, got.mean_jaccard, got.mean_drift], [f[:, 0].mean(), f[:, 0].std(), f[:, 1].mean(), f[:, 2].mean()], atol=1e-9)
+    assert agreement.evaluate_stability(frame(spark, x).limit(0), 4).count() == 0
+
+
+def test_elbow_gains_come_from_clusterings(spark, sf_dir):
+    import __spark_entry__
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.array(e["embedding"].tolist())
+    j = {k: brute_kmeans(x, k, kmeans.PROBE_ITERATIONS)[1] for k in sorted(set(e["label"] + 2))}
+    got = {r.k: r.gain for r in __spark_entry__.queries()["kmeans_elbow_gains"](spark, sf_dir).collect()}
+    assert got.keys() == j.keys() and all(abs(got[k] - ((j[k] - j[k + 1]) / j[k] if k + 1 in j else 0)) < 1e-5 for k in got)
+
+
 def test_hierarchy_of_an_empty_table(spark):
     mids = spark.createDataFrame([], "id long, top_id long, mid long")
     gates = hierarchy.lower_gate(hierarchy.mid_ids(mids))

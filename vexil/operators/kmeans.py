@@ -301,6 +301,23 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vector", normalise("vector"))
 
 
+def paired(vectors: DataFrame, a: np.ndarray, b: np.ndarray, m: int = 2) -> DataFrame:
+    """(a, b, tops_a, tops_b): for each row the best centroid by dot product and the m best in order, of two clusterings; the lower number among equals."""
+    _check(a)
+    _check(b)
+    shared = vectors.sparkSession.sparkContext.broadcast((a, b))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("vector"))
+                tops = [np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :m].astype(np.int64) for c in shared.value]
+                lists = [pa.ListArray.from_arrays(np.arange(0, t.size + 1, t.shape[1], dtype=np.int32), pa.array(t.ravel())) for t in tops]
+                yield pa.RecordBatch.from_arrays([*[pa.array(t[:, 0].copy()) for t in tops], *lists], ["a", "b", "tops_a", "tops_b"])
+
+    return vectors.select("vector").mapInArrow(run, "a long, b long, tops_a array<long>, tops_b array<long>")
+
+
 def elbow_by_bisection(objective: Callable[[int], float], grid: list[int], threshold: float = 0.08) -> tuple[int, bool]:
     """The first k of the grid from which the next gains no more than threshold of the objective, by bisection; and whether there is one (else the last)."""
     low, high, best = 0, len(grid) - 2, None

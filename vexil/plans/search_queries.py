@@ -337,6 +337,37 @@ def elbow_bends(spark, sf_dir):
     return reports.bends(_trace(spark, sf_dir)).withColumn("bend", F.when(F.col("bend") > float("-inf"), F.round("bend", 9)).otherwise(F.col("bend")))
 
 
+def _objectives(spark, sf_dir):
+    """The objective of a k-means of all rows for each k of _trace."""
+    placed = materialise(kmeans.with_position(embeddings(spark, sf_dir).select("id", "vector"), "id"), "placed")
+    n = placed.count()
+    ks = sorted(r.k for r in _trace(spark, sf_dir).collect())
+    return spark.createDataFrame([(k, kmeans.kmeans(placed, n, k, kmeans.PROBE_ITERATIONS)[1]) for k in ks], "k long, objective double")
+
+
+@query()
+def kmeans_elbow_gains(spark, sf_dir):
+    """The gains of real clusterings; elbow_gains has the formula of its SQL."""
+    from vexil.operators import reports
+
+    return reports.gains(_objectives(spark, sf_dir))
+
+
+@query()
+def kmeans_elbow_bends(spark, sf_dir):
+    """The bends of real clusterings; elbow_bends has the formula of its SQL."""
+    from vexil.operators import reports
+
+    return reports.bends(_objectives(spark, sf_dir))
+
+
+@query()
+def kmeans_stability(spark, sf_dir):
+    """Several seeds, as many clusters as labels; stability has the made-up runs of its SQL."""
+    rows = embeddings(spark, sf_dir)
+    return agreement.evaluate_stability(rows, rows.select("label").distinct().count())
+
+
 @query()
 def kmeans_top(spark, sf_dir):
     """The whole top layer: choice of k and assignments."""
