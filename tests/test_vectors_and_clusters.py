@@ -160,6 +160,25 @@ def test_dimensions_are_sampled_from_the_whole_table(spark, tmp_path):
     assert sum(abs(got[i] - want[i]) <= 1e-3 * want[i] + 1e-4 for i in want) > 0.99 * len(want)
 
 
+def test_groups_below_and_above_the_limit_are_alike(spark, monkeypatch):
+    x = np.random.default_rng(10).normal(size=(108, 3))
+    rows = frame(spark, x).withColumn("top_id", F.when(F.col("id") < 34, 0).when(F.col("id") < 69, 1).cast("long"))  # 34, 35 and, null, 39 rows
+    get = lambda: {r.id: (r.top_id, r.mid) for r in kmeans.cluster_groups(rows).collect()}
+    want = get()
+    assert len(want) == 108 and sum(g is None for g, _ in want.values()) == 39
+    for limit in (105, 104):  # null alone by passes, and with group 1
+        monkeypatch.setattr(kmeans, "LOCAL_VALUES", limit)
+        assert get() == want
+
+
+def test_unconverged_passes_score_and_assign_as_one_task_does(spark):
+    x = np.random.default_rng(11).normal(size=(90, 3)).astype(np.float32).astype(float)
+    placed = kmeans.with_position(frame(spark, x), "id")
+    _, a, j = kmeans.local_kmeans(x, 6, 1)
+    c, got = kmeans.kmeans(placed, 90, 6, 1)
+    assert abs(got - j) < 1e-6 and {r.id: r.cid for r in kmeans._without_empty(placed, c).collect()} == dict(enumerate(a.tolist()))
+
+
 def test_stability_of_several_seeds_matches_brute_force(spark, monkeypatch):
     x = np.random.default_rng(9).normal(size=(120, 5)).astype(np.float32)
     models, seeds, real = [], [], kmeans.spherical_kmeans

@@ -67,7 +67,7 @@ def _f32(x: np.ndarray) -> np.ndarray:
 
 
 def local_kmeans(x: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centroids, assignments and the sum of squared distances, for rows in order. Starts at rows floor(c n / k); an empty cluster takes the row farthest from its centroid; ends when no assignment changes."""
+    """Centroids, assignments and the sum of squared distances, for rows in order. Starts at rows floor(c n / k); an empty cluster takes the row farthest from its centroid; ends when no assignment changes. Assignments and sum are those of the final centroids."""
     n = len(x)
     k = min(k, n)
     if k == 0:
@@ -85,7 +85,10 @@ def local_kmeans(x: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, np
         c, old = _f32(sums / counts[:, None]), now
         if not changed:
             break
-    return c, old, float(((x - c[old]) ** 2).sum())
+    now, d = assign(x, c)
+    for e in np.flatnonzero(np.bincount(now, minlength=k) == 0):
+        now[int(d.argmax())] = e
+    return c, now, float(d.sum())
 
 
 def _check(c: np.ndarray) -> None:
@@ -344,6 +347,17 @@ def cluster_top(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, in
     return assigned(placed, c).select("id", F.col("cid").alias("top_id")), centroids, spark.createDataFrame(trace, "k long, objective double, phase string"), k
 
 
+def _without_empty(placed: DataFrame, c: np.ndarray) -> DataFrame:
+    """(id, cid) of the nearest centroids; as in local_kmeans, the row farthest from its centroid takes the number of the last empty cluster."""
+    near = assigned(placed, c)
+    used = {r.cid for r in near.select("cid").distinct().collect()}
+    empty = [e for e in range(len(c)) if e not in used]
+    if not empty:
+        return near.select("id", "cid")
+    worst = near.orderBy(F.desc("distance"), "id").first()["id"]
+    return near.select("id", F.when(F.col("id") == worst, F.lit(empty[-1])).otherwise(F.col("cid")).cast("long").alias("cid"))
+
+
 def cluster_groups(vectors: DataFrame, group: str = "top_id") -> DataFrame:
     """(id, group, mid): k-means of each group by itself with its own choice of k; mid counts from 0 in each group. Groups beyond LOCAL_VALUES are clustered by passes, one after another."""
     spark = vectors.sparkSession
@@ -356,10 +370,13 @@ def cluster_groups(vectors: DataFrame, group: str = "top_id") -> DataFrame:
         k, _ = choose_k(lambda k: local_kmeans(x, k, PROBE_ITERATIONS)[2], *k_bounds(len(x)))
         return pd.DataFrame({"id": part["id"].to_numpy(), group: part[group].to_numpy(), "mid": local_kmeans(x, k, FINAL_ITERATIONS)[1].astype("int64")})
 
-    out = vectors.where(~F.col(group).isin([g for g, _ in large])) if large else vectors
+    out = vectors
+    if large:  # null is a group too
+        apart = spark.createDataFrame([(g,) for g, _ in large], "__g long")
+        out = vectors.join(F.broadcast(apart), F.col(group).eqNullSafe(F.col("__g")), "left_anti")
     out = out.groupBy(group).applyInPandas(run, f"id long, {group} long, mid long")
     for g, n in large:
-        placed = materialise(with_position(vectors.where(F.col(group) == g).select("id", "vector"), "id"), "placed")
+        placed = materialise(with_position(vectors.where(F.col(group).eqNullSafe(F.lit(g).cast("long"))).select("id", "vector"), "id"), "placed")
         k, _ = choose_k(lambda k, p=placed, n=n: kmeans(p, n, k, PROBE_ITERATIONS)[1], *k_bounds(n))
-        out = out.unionByName(assigned(placed, kmeans(placed, n, k, FINAL_ITERATIONS)[0]).select("id", F.lit(g).cast("long").alias(group), F.col("cid").alias("mid")))
+        out = out.unionByName(_without_empty(placed, kmeans(placed, n, k, FINAL_ITERATIONS)[0]).select("id", F.lit(g).cast("long").alias(group), F.col("cid").alias("mid")))
     return out
