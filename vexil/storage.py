@@ -1,27 +1,58 @@
-"""The folder that all executors share, and tables written there."""
+"""The folder that all executors share, tables written there, and settings for the time of an action."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (local runs, tests)."""
+    """spark.checkpoint.dir of the session. Where that is unset, local runs and tests get a temporary folder; on a cluster, whose executors wouldn't share it, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="vexil-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared folder and reads it again: lineage ends there and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes df as Parquet below the shared folder and reads it again: lineage ends there and a lost executor loses nothing. Also the path, for drop_table once nothing reads it any more."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a written table in the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions within; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
