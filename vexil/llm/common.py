@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,40 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vexil.storage import drop_table, materialise, settings, shared_dir, stored  # noqa: F401, for the operators
+
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 #: Inverse of BASE modulo 2**64.
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
 #: Text bytes that are handled at once; a longer document is handled alone.
 SUB_BATCH_BYTES = 1 << 19
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset (local runs, tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="vexil-")
-        atexit.register(shutil.rmtree, path, True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it again: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Deletes a written table in the shared folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: For actions that the operators run themselves: Arrow batches of ten thousand texts on either side of the pipe cost executors hundreds of MB.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,9 +90,31 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = SP
     Returns the hashes and, for each document, the range of its own: n + 1 offsets.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
-    text, at = data[lo:hi], offsets - lo
+    if hi - lo <= 2 * SUB_BATCH_BYTES:
+        return _hashes(data[lo:hi], offsets - lo, classes, fold)
+    # a long text piece by piece, each ending where its class of bytes changes: a token's hash depends on its bytes only
+    hashes, counts = [np.zeros(0, U64)], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        n = 0
+        while a < b:
+            end = min(b, a + SUB_BATCH_BYTES)
+            while end < b:
+                kinds = classes[data[end - 1 : min(b, end + SUB_BATCH_BYTES)]]
+                change = np.flatnonzero(kinds[1:] != kinds[:-1])
+                if len(change):
+                    end += int(change[0])
+                    break
+                end = min(b, end + SUB_BATCH_BYTES)
+            hashes.append(_hashes(data[a:end], np.array([0, end - a]), classes, fold)[0])
+            n += len(hashes[-1])
+            a = end
+        counts.append(n)
+    return np.concatenate(hashes), np.cumsum(counts)
+
+
+def _hashes(text: np.ndarray, at: np.ndarray, classes: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     if not len(text):
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, U64), np.zeros(len(at), np.int64)
     kind = classes[text]
     change = np.empty(len(text) + 1, dtype=bool)
     change[0] = change[-1] = True
@@ -147,14 +141,6 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow for rows with texts. Unless the session says otherwise, batches have BATCH_ROWS rows: buffers of ten thousand texts on either side of the pipe cost executors hundreds of MB."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_SETTING) == "10000":
-        conf.set(BATCH_SETTING, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
-
-
 def set_aside(docs: DataFrame, own: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with the columns that clash with own, or start with two underscores, in one struct; and what takes them out of it again."""
     odd = [c for c in docs.columns if c.startswith("__") or c.lower() in own]
