@@ -6,14 +6,20 @@ a gadget: let t be the state that arcs u lead to and r the one that v leads to f
 arc uv to r, and arcs u now lead to a copy of t without the arc v. Written out that is up to vocabulary times vocabulary
 arcs, so states are kept as what the gadgets did to them: the arcs cut, each with its time, and for the state behind uv
 the state it shares up to that time (the one behind v). Whether an arc leaves a state then follows from the cuts along
-its label's left spine, and each answer goes into the table that the encoder is driven by.
+its label's left spine.
 
-A pre-split word is encoded by walking its bytes through that table: an arc's label must match the bytes, and since just
-one accepted sequence spells the word, the longest arc first with dead ends remembered finds it. Decoding emits labels.
+Encoding is driven by a table over bytes: the automaton with its labels spelled out, made deterministic by subsets. A
+state of the table is the set of arcs (state they leave, node of the prefix tree of labels) that the bytes read so far may
+be within; as just one accepted sequence spells a word, exactly one arc ends at each byte, and the table's state names
+its label. A pre-split word takes one transition for each byte, without going back; its tokens are then read off from its
+end, each label's length giving the place of the one before. Transitions are made when they are first taken. Decoding
+emits labels.
 
 The vocabulary is a rank file (a base64 token and its rank on each line); its path is a parameter, it is read on the
 driver only. Defined results: a null text gives null, an empty one no tokens; special tokens in a text are ordinary
-text; other columns pass through, input columns named like the outputs are replaced.
+text; other columns pass through, input columns named like the outputs are replaced. Words and texts of any length are
+encoded whole, in time and memory in proportion to their length. A text has one encoding only, so there are no ties, and
+repeated rows get equal tokens; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vexil.llm.common import map_texts, string_buffers, sub_batches
+from vexil.llm.common import string_buffers, sub_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -78,105 +85,133 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return merges
 
 
+class ByteTable(dict):
+    """Transitions of the deterministic automaton over bytes: state << 8 | byte to the next state << 8, made when first asked for. ending has the token of the arc that ends in each state."""
+
+    def __init__(self, automaton: Automaton):
+        self.children, self.leaves = automaton.children, automaton.leaves
+        first = ((START, 0),)
+        self.within, self.ending, self.numbers = [first], [START], {first: 0}
+
+    def __missing__(self, key: int) -> int:
+        children, byte = self.children, key & 255
+        within, ending = [], START
+        for source, node in self.within[key >> 8]:  # the longest first
+            child = children.get(node << 8 | byte)
+            if child is not None:
+                node, token = child
+                within.append((source, node))
+                if ending == START and token >= 0 and (source == START or self.leaves(source, token)):
+                    ending = token
+        if ending == START:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        within.append((ending, 0))
+        held = tuple(within)
+        state = self.numbers.get(held)
+        if state is None:
+            state = self.numbers[held] = len(self.within) << 8
+            self.within.append(held)
+            self.ending.append(ending)
+        self[key] = state
+        return state
+
+
 class Automaton:
     """States are named by the token that leads to them, START by none."""
 
-    MOST_ARCS, MOST_WORDS = 1_000_000, 300_000
+    #: Beyond so many, transitions are made anew; words are remembered in two generations of at most so many.
+    MOST_TRANSITIONS, MOST_WORDS, LONGEST_KEPT = 400_000, 150_000, 64
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]]):
-        self.ids = ranks
         self.labels = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
         self.spine: dict[int, tuple[int, int]] = {}  # of a merged label: its left part and the time it was made
         self.cuts: dict[tuple[int, int], int] = {}
         self.shares: dict[int, tuple[int, int]] = {}
         self.made = {i for t, i in ranks.items() if len(t) == 1}
-        self._caches()
         for time, (u, v, uv) in enumerate(merges):
             self._gadget(u, v, uv, time)
-
-    def _caches(self) -> None:
-        self.arcs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self._tables()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words")}
+        return {k: self.__dict__[k] for k in ("labels", "spine", "cuts", "shares", "made")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._caches()
+        self._tables()
 
     def _gadget(self, u: int, v: int, uv: int, time: int) -> None:
-        if u not in self.made or v not in self.made or not self._leaves(u, v):
+        if u not in self.made or v not in self.made or not self.leaves(u, v):
             return  # no path u, v is left: the merge can't happen
         self.cuts[u, v] = time
         self.shares[uv] = (v, time)
         self.spine[uv] = (u, time)
         self.made.add(uv)
 
-    def _cut(self, state: int, label: int) -> float:
-        """When the arc was cut from the state, in the gadgets done so far."""
-        before = float("inf")
-        while True:
-            time = self.cuts.get((state, label))
-            if time is not None and time < before:
-                return time
-            if state not in self.shares:
-                return float("inf")
-            state, since = self.shares[state]
-            before = min(before, since)
-
-    def _leaves(self, state: int, label: int) -> bool:
-        """Whether the arc leaves the state: it isn't cut, and each part it was made from still left the state when it was made."""
-        until = float("inf")
+    def leaves(self, state: int, label: int) -> bool:
+        """Whether the arc leaves the state. Back in time, the state is the one it was shared with and the label its left part; at no time may the arc of the day have been cut before it took part in the label or the state was shared."""
+        cuts, shares, spine = self.cuts, self.shares, self.spine
+        shared = until = 1 << 60
         while True:
-            if self._cut(state, label) < until or (until < float("inf") and self._cut(state, label) == until):
+            time = cuts.get((state, label))
+            if time is not None and time < shared and time <= until:
                 return False
-            if label not in self.spine:
+            a, b = shares.get(state), spine.get(label)
+            if a is not None and (b is None or a[1] >= b[1]):
+                state, shared = a
+            elif b is not None:
+                label, until = b
+            else:
                 return True
-            label, until = self.spine[label]
-
-    def arc(self, state: int, label: int) -> bool:
-        if state == START:
-            return label in self.made
-        key = state << 32 | label
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= self.MOST_ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = label in self.made and self._leaves(state, label)
-        return known
+
+    def _tables(self) -> None:
+        self.sizes = {i: len(self.labels[i]) for i in self.made}
+        nodes: dict[int, int] = {}  # node << 8 | byte to node
+        token_at = [-1]
+        for i in self.made:
+            node = 0
+            for byte in self.labels[i]:
+                key = node << 8 | byte
+                node = nodes.get(key, -1)
+                if node < 0:
+                    node = nodes[key] = len(token_at)
+                    token_at.append(-1)
+            token_at[node] = i
+        #: node << 8 | byte to (node, the token that ends there or -1).
+        self.children = {key: (node, token_at[node]) for key, node in nodes.items()}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.table = ByteTable(self)
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, ids, dead = len(word), self.ids, set()
-        path: list[tuple[int, int, int]] = []  # (start, end, token)
-        at, state, end = 0, START, min(n, self.longest)
-        while at < n:
-            while end > at:
-                token = ids.get(word[at:end])
-                if token is not None and (end, token) not in dead and self.arc(state, token):
-                    break
-                end -= 1
-            if end > at:
-                path.append((at, end, token))
-                at, state, end = end, token, min(n, end + self.longest)
-            else:
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte of the text")
-                start, stop, token = path.pop()
-                dead.add((stop, token))
-                at, end, state = start, stop - 1, path[-1][2] if path else START
-        return [t for _, _, t in path]
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self.words) >= self.MOST_WORDS:
-            self.words.clear()
-        packed = self.words[word] = np.array(self.encode_word(word.encode()), dtype=np.int32).tobytes()
+        table = self.table
+        if len(table) > self.MOST_TRANSITIONS:
+            table = self.table = ByteTable(self)
+        state, states = 0, []
+        for byte in word:
+            state = table[state | byte]
+            states.append(state)
+        ending, sizes, at, path = table.ending, self.sizes, len(word), []
+        while at:
+            token = ending[states[at - 1] >> 8]
+            path.append(token)
+            at -= sizes[token]
+        path.reverse()
+        return path
+
+    def _unseen(self, word: str) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            packed = array("i", self.encode_word(word.encode())).tobytes()
+        if len(word) <= self.LONGEST_KEPT:
+            if len(self.words) >= self.MOST_WORDS:
+                self.older = self.words.copy()
+                self.words.clear()
+            self.words[word] = packed
         return packed
 
     def encode(self, text: str) -> np.ndarray:
-        known, missing = self.words.get, self.__missing__
-        return np.frombuffer(b"".join([known(w) or missing(w) for w in split_words(text)]), dtype=np.int32)
+        known, unseen = self.words.get, self._unseen
+        return np.frombuffer(b"".join([known(w) or unseen(w) for w in split_words(text)]), dtype=np.int32)
 
     def decode(self, ids) -> str:
         labels = self.labels
@@ -213,7 +248,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = True) -> Data
                     columns.append(pa.array([None if t is None else a.decode(i) == t for t, i in zip(texts, ids)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_texts(docs, run, T.StructType([*kept, *new]))
+    return docs.mapInArrow(run, T.StructType([*kept, *new]))
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -228,4 +263,4 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [None if i is None else a.decode(i) for i in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())], names)
 
-    return map_texts(tokens, run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+    return tokens.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
