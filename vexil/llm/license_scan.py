@@ -9,8 +9,13 @@ outside optional and replaceable regions must match exactly.
 
 A text can only match if it holds the rarest-looking mandatory word of some template, so one regular expression on the
 JVM passes over the others before Python sees them. Defined results: a null text counts as empty; repeated rows are each
-reported; matches of different templates may overlap and are all reported; other columns are ignored. A template must
+reported; matches of different templates may overlap and are all reported; other columns are ignored. Texts of any length
+are read whole, each place once for every word that may start a template; an empty table gives no rows. A template must
 have a mandatory word and may not begin with a replaceable region.
+
+Templates of license texts and of file headers reach from the first to the last mandatory word, so that a text with another
+disclaimer isn't taken for the license; those that end in "notice", and the one-line ones of Creative Commons, Eclipse and
+reserved rights, name a license and claim no more.
 """
 
 from __future__ import annotations
@@ -22,29 +27,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import map_texts
 
-COPYRIGHT = "<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;name=holder;words=1-20>><<endOptional>> <<beginOptional>>All rights reserved.<<endOptional>>"
-AS_IS = 'THIS SOFTWARE IS PROVIDED BY <<var;name=who;words=1-12>> "AS IS" AND ANY <<beginOptional>>EXPRESS OR<<endOptional>> <<beginOptional>>EXPRESSED OR<<endOptional>> IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+
+def optional(wording: str) -> str:
+    return f"<<beginOptional>>{wording}<<endOptional>>"
+
+
+def var(name: str, least: int, most: int) -> str:
+    return f"<<var;name={name};words={least}-{most}>>"
+
+
+COPYRIGHT = optional(f"Copyright {optional('(c)')} {var('holder', 1, 20)}") + " " + optional("All rights reserved.") + " "
+BULLET = optional(var("bullet", 1, 1)) + " "
+#: The disclaimer of most short licenses, up to what is sold or used.
+NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE '
+DEALINGS = "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 REDISTRIBUTION = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-    "<<beginOptional>><<var;name=bullet;words=1-1>><<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-    "<<beginOptional>><<var;name=bullet;words=1-1>><<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    + BULLET + "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    + BULLET + "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 )
+AS_IS = (
+    f'THIS SOFTWARE IS PROVIDED BY {var("who", 1, 12)} "AS IS" AND ANY {optional("EXPRESS OR")} {optional("EXPRESSED OR")} IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    f"IN NO EVENT SHALL {var('who', 1, 12)} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+WORK_IS = optional(f"This {var('work', 1, 4)} is") + " "
+
+
+def gnu(name: str, version: str) -> str:
+    """The header of files under a license of that family, for this version or later."""
+    return (
+        f"is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. "
+        f"{optional('This')} {var('work', 1, 6)} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. "
+        + optional(f"You should have received a copy of the GNU {name} along with {var('work', 1, 6)} If not, see {optional('http')} {optional('https')} {optional('www')} gnu org licenses")
+    )
+
+
+def gnu_notice(name: str, version: str) -> str:
+    return f"{WORK_IS} licensed under the {optional('terms of the')} GNU {name}, {optional('either')} version {version} {optional('of the License, or (at your option) any later version')}"
+
+
+def commons(name: str) -> str:
+    return f"{WORK_IS} licensed under {optional('a')} {optional('the')} {optional('Creative Commons')} {name} 4.0 {optional('International')} {optional('License')}"
+
+
+#: License texts from their first to their last mandatory word, the headers that files carry, and one-line notices.
 TEMPLATES = {
-    "Apache-2.0": '<<beginOptional>>Licensed<<endOptional>> under the Apache License, Version 2.0 <<beginOptional>>(the "License"); you may not use this file except in compliance with the License.<<endOptional>>',
-    "MIT-notice": "<<beginOptional>>This <<var;name=work;words=1-4>> is<<endOptional>> <<beginOptional>>Released<<endOptional>> <<beginOptional>>Licensed<<endOptional>> under the MIT License",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the \"Software\")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of <<var;name=what;words=2-2>>.",
-    "ISC": COPYRIGHT + " Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+    + var("place", 1, 12)
+    + ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "Apache-2.0-notice": optional("Licensed") + " under the Apache License, Version 2.0",
+    "MIT": COPYRIGHT
+    + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+    + optional("(including the next paragraph)")
+    + " shall be included in all copies or substantial portions of the Software. "
+    + NO_WARRANTY
+    + f"AND NONINFRINGEMENT. IN NO EVENT SHALL {optional('THE')} {var('who', 1, 12)} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    + DEALINGS,
+    "MIT-notice": WORK_IS + optional("Released") + " " + optional("Licensed") + " under the MIT License",
+    "ISC": COPYRIGHT
+    + f"Permission to use, copy, modify, and{optional('/or')} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    + f'THE SOFTWARE IS PROVIDED "AS IS" AND {var("who", 1, 12)} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {var("who", 1, 12)} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "BSD-2-Clause": COPYRIGHT + REDISTRIBUTION + AS_IS,
-    "BSD-3-Clause": COPYRIGHT + REDISTRIBUTION + "<<beginOptional>><<var;name=bullet;words=1-1>><<endOptional>> Neither the name of <<var;name=organization;words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + AS_IS,
-    "GPL-3.0-notice": "<<beginOptional>>This <<var;name=work;words=1-4>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License, <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the License, or (at your option) any later version<<endOptional>>",
-    "GPL-2.0-or-later": "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "GPL-3.0-or-later": "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. <<beginOptional>>If a copy of the MPL was not distributed with this file, You can obtain one at <<var;name=place;words=1-8>><<endOptional>>",
-    "CC-BY-4.0": "licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY 4.0",
-    "CC-BY-NC-4.0": "<<beginOptional>>This <<var;name=work;words=1-4>> is<<endOptional>> licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY NC 4.0 <<beginOptional>>International License<<endOptional>>",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSD-3-Clause": COPYRIGHT + REDISTRIBUTION + BULLET + f"Neither the name of {var('organization', 1, 12)} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + AS_IS,
+    "BSL-1.0": optional("Boost Software License Version 1.0 August 17th, 2003")
+    + ' Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. '
+    + NO_WARRANTY
+    + ", TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
+    + DEALINGS,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will "
+    + var("who", 1, 12)
+    + " be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    + BULLET + "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    + BULLET + "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    + BULLET + "This notice may not be removed or altered from any source distribution.",
+    "GPL-2.0-or-later": gnu("General Public License", "2"),
+    "GPL-3.0-or-later": gnu("General Public License", "3"),
+    "LGPL-2.1-or-later": gnu("Lesser General Public License", "2.1"),
+    "LGPL-3.0-or-later": gnu("Lesser General Public License", "3"),
+    "AGPL-3.0-or-later": gnu("Affero General Public License", "3"),
+    "GPL-2.0-notice": gnu_notice("General Public License", "2"),
+    "GPL-3.0-notice": gnu_notice("General Public License", "3"),
+    "LGPL-3.0-notice": gnu_notice("Lesser General Public License", "3"),
+    "AGPL-3.0-notice": gnu_notice("Affero General Public License", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at " + var("place", 1, 8),
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License " + optional("v") + " 2.0",
+    "CC-BY-4.0": commons("CC BY"),
+    "CC-BY-4.0-spelled": commons("Attribution"),
+    "CC-BY-SA-4.0": commons("CC BY SA"),
+    "CC-BY-SA-4.0-spelled": commons("Attribution-ShareAlike"),
+    "CC-BY-NC-4.0": commons("CC BY NC"),
+    "CC-BY-NC-4.0-spelled": commons("Attribution-NonCommercial"),
+    "CC0-1.0": f"To the extent possible under law, {var('who', 1, 20)} has waived all copyright and related or neighboring rights to {var('work', 1, 1)}",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    + NO_WARRANTY
+    + "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    + DEALINGS,
     "rights-reserved": "All rights reserved",
 }
 MARK = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
@@ -181,14 +259,14 @@ class Automaton:
 
 
 def prefilter(templates: dict[str, str] = TEMPLATES) -> str:
-    """One mandatory word of each template, the longest."""
+    """One mandatory word of each template, the longest, to be looked for in small letters. What another one of them is part of is left out."""
     picked = {max(mandatory(parse(t)), key=lambda w: (len(w), w)).decode() for t in templates.values()}
-    return "(?i)" + "|".join(sorted(picked))
+    return "|".join(sorted(w for w in picked if not any(v != w and v in w for v in picked)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, license_id, start_word, end_word) of each match; end_word lies beyond the last."""
-    maybe = docs.select("doc_id", "text").where(F.col("text").rlike(prefilter(templates)))
+    maybe = docs.select("doc_id", "text").where(F.lower("text").rlike(prefilter(templates)))
     schema = T.StructType([maybe.schema["doc_id"], T.StructField("license_id", T.StringType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
 
     def run(batches):
@@ -202,7 +280,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             columns = list(zip(*found)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], schema.names)
 
-    return map_texts(maybe, run, schema)
+    return maybe.mapInArrow(run, schema)
 
 
 def pattern(items: list) -> str:
