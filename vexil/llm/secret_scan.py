@@ -5,7 +5,8 @@ only if, decoded, it has the structure it claims:
 
 - private_key_der: base64 or hex of a DER SEQUENCE whose nested lengths add up to its end and which reads as a PKCS#1,
   SEC1 or DSA private key, or as a PKCS#8 one whose inner key is one of those, an octet string or, with parameters, an
-  integer (bare, assigned to a name, or in PEM armour, which may wrap it over lines)
+  integer, or as an encrypted PKCS#8 one, whose algorithm is one of password-based encryption (bare, assigned to a name,
+  or in PEM armour, which may wrap it over lines)
 - private_key_openssh: the same of data that starts with the OpenSSH magic and whose length-prefixed fields fit
 - signed_token: three base64url parts; the header and the claims are JSON objects, the header names an algorithm and, but
   for "none", the signature has the length that algorithm gives
@@ -16,7 +17,8 @@ only if, decoded, it has the structure it claims:
 
 Only the place, the kind and the decoded size are reported, never the secret. Texts without any long run are passed over
 on the JVM by one regular expression, before Python sees them. Defined results: a null text counts as empty; repeated
-rows are each reported; of overlapping finds the first stands; other columns are ignored.
+rows are each reported; of overlapping finds the first stands; other columns are ignored. Texts of any length are read
+whole, in time in proportion to their length, whatever runs they hold; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,17 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import map_texts
-
 #: What every secret has: armour, or a run of at least 19 of these (the shortest header of a signed token).
 PREFILTER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{19,}+|-----BEGIN "
 ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 CHECKED = re.compile(r"(?<![A-Za-z0-9_])(gh[pousr]_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"(?i)(?<![A-Za-z0-9])[a-z0-9_.-]*(?:key|token|secret|passw(?:or)?d|credential)[a-z0-9_.-]*[\"']?\s*(?:=>|[:=])\s*[\"']?([A-Za-z0-9+/_=-]{20,})")
+#: A name is read once, from its first character and without going back, so that long runs of any characters take time in proportion.
+ASSIGNED = re.compile(r"(?i)(?<![a-z0-9_.-])(?=[a-z0-9_.-]*?(?:key|token|secret|passw(?:or)?d|credential))[a-z0-9_.-]++[\"']?\s*+(?:=>|[:=])\s*+[\"']?([A-Za-z0-9+/_=-]{20,}+)")
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{80,}={0,2}(?![A-Za-z0-9+/_=-])")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Object identifiers of PKCS#5 and PKCS#12 encryption, without their last number.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 KEY_SIZES = {16, 20, 24, 28, 30, 32, 40, 48, 64}
 SIGNATURE = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "ES384": {96}, "ES512": {132}, "EdDSA": {64, 114}}
 
@@ -87,11 +90,15 @@ def der_elements(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes, within: bool = False) -> bool:
+    """within: as the inner key of a PKCS#8 one, which isn't PKCS#8 again."""
     outer = der_elements(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     parts = der_elements(outer[0][1])
+    if not within and parts and [t for t, _ in parts] == [0x30, 0x04]:  # encrypted PKCS#8
+        algorithm = der_elements(parts[0][1])
+        return bool(algorithm) and [t for t, _ in algorithm] == [0x06, 0x30] and algorithm[0][1].startswith(PASSWORD_BASED) and len(parts[1][1]) >= 16
     if not parts or parts[0][0] != 0x02 or len(parts[0][1]) != 1:
         return False
     tags, version = [t for t, _ in parts], parts[0][1][0]
@@ -101,12 +108,12 @@ def is_der_key(data: bytes) -> bool:
         return True  # SEC1
     if version == 0 and len(parts) == 6 and all(t == 0x02 for t in tags) and len(parts[1][1]) >= 64 and 20 <= len(parts[2][1]) <= 33:
         return True  # DSA: p, q, g, y, x
-    if version in (0, 1) and len(parts) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:  # PKCS#8
+    if not within and version in (0, 1) and len(parts) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:  # PKCS#8
         algorithm, inner = der_elements(parts[1][1]), der_elements(parts[2][1])
         if not algorithm or algorithm[0][0] != 0x06 or not inner:
             return False
         number = len(inner) == 1 and inner[0][0] == 0x02 and [t for t, _ in algorithm] == [0x06, 0x30]  # DSA, with p, q, g as parameters
-        return number or inner[0][0] == 0x04 or is_der_key(parts[2][1])
+        return number or inner[0][0] == 0x04 or is_der_key(parts[2][1], True)
     return False
 
 
@@ -236,4 +243,4 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema.names)
 
-    return map_texts(maybe, run, schema)
+    return maybe.mapInArrow(run, schema)
