@@ -10,10 +10,11 @@ Documents of equal minima (exact copies above all) are one node from the start,
 Equal buckets of several bands are compared once. A bucket of more than CHUNK nodes is compared chunk by chunk against
 itself, in as many tasks as it has pairs of chunks: no pair is left out.
 
-Defined results: a null text counts as empty; a text without words is never a copy. A text of fewer words than a shingle
-is one shingle. Rows that are equal in doc_id and text are copies of each other; rows with equal doc_id and other text
-are documents of their own. The row with the least (doc_id, text hash) of a group stays, a null doc_id before others.
-Other columns pass through untouched.
+Defined results: a null text counts as empty; a text without words is never a copy, and all its rows stay. A text of
+fewer words than a shingle is one shingle; texts of any length are read whole. Rows that are equal in doc_id and text
+are copies of each other; rows with equal doc_id and other text are documents of their own. The row with the least
+(doc_id, text hash) of a group stays, a null doc_id before others. Capitals of all alphabets count as small letters. An
+empty table gives no rows. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vexil.llm.common import U64, WORDS, documents_of, map_texts, materialise, mix, set_aside, string_buffers, sub_batches, text_key, token_hashes
+from vexil.llm.common import SMALL_BATCHES, U64, WORDS, documents_of, materialise, mix, set_aside, settings, string_buffers, sub_batches, text_key, token_hashes
 from vexil.llm.components import connected_components
 
 SHINGLE, HASHES, ROWS, BITS = 3, 256, 4, 2
@@ -89,7 +90,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, key, node, signature, buckets) of each document that has a word."""
-    source = docs.select("doc_id", text_key().alias("key"), "text")
+    source = docs.select("doc_id", text_key().alias("key"), F.lower("text").alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     names=schema.names,
                 )
 
-    return map_texts(source, run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def _runs(batches, key: str):
@@ -208,7 +209,8 @@ def verified_edges(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataF
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, copies, node, root) of all documents with words, and the signatures by node."""
-    signed = materialise(signatures(docs), "signatures")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        signed = materialise(signatures(docs), "signatures")
     nodes = signed.groupBy("node").agg(F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
     roots = connected_components(verified_edges(candidate_sets(nodes), nodes, threshold))
     rows = signed.groupBy("doc_id", "key", "node").agg(F.count(F.lit(1)).alias("copies"))
@@ -240,13 +242,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.select("doc_id", "keeper_id", similarity("signature", "keeper_signature").alias("similarity"))
 
 
+def _identity(id: str = "doc_id", key: str = "__key") -> list:
+    """Columns without nulls that tell rows apart, so that a join and a window on them share one shuffle."""
+    return [F.coalesce(F.col(id).cast("string"), F.lit("")).alias("__i"), F.col(id).isNull().alias("__null"), F.col(key).alias("__k")]
+
+
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that near_duplicates names: one row of each group stays, with all its columns."""
+    """docs without those that near_duplicates names: one row of each group stays, with all its columns.
+
+    Texts are shuffled once, by what tells rows apart: the marks of rows that go, or that are repeated, are joined there
+    and of repeated rows the first is taken.
+    """
     rows, _ = groups(docs, threshold)
-    gone = _removed(rows).where("not is_keeper").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone"))
+    marks = _removed(rows).select(*_identity("doc_id", "key"), F.col("is_keeper").alias("__once"))
     columns = docs.columns
     docs, back = set_aside(docs)
-    marked = docs.withColumn("__key", text_key())
-    left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__key"] == gone["__gone"]), "left_anti")
-    once = Window.partitionBy("doc_id", "__key").orderBy("doc_id")
-    return left.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__key").transform(back).select(columns)
+    names, same = docs.columns, ["__i", "__null", "__k"]
+    marked = docs.withColumn("__key", text_key()).select("*", *_identity()).join(marks, same, "left")
+    left = marked.withColumn("__n", F.row_number().over(Window.partitionBy(*same).orderBy("__k"))).where("__once is null or __once and __n = 1")
+    return left.select(names).transform(back).select(columns)
