@@ -16,7 +16,8 @@ are counted by 128-bit hash instead, which is exact too.
 
 Words are what ASCII white space separates, compared by 64-bit hash. Defined results: a null text counts as empty;
 texts below MIN_WORDS words have no window. Rows equal in doc_id and text are two places (so a repeated row is repeated
-throughout) but are reported once. Repeats within one document count. Null doc_ids are reported as null.
+throughout) but are reported once. Repeats within one document count. Null doc_ids are reported as null. Texts of any
+length are read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import U64, documents_of, map_texts, materialise, mix, powers, string_buffers, sub_batches, text_key, token_hashes
+from vexil.llm.common import SMALL_BATCHES, U64, documents_of, drop_table, materialise, mix, powers, settings, stored, string_buffers, sub_batches, text_key, token_hashes
 
 MIN_WORDS, GRAM = 50, 8
 SHARD_BLOCKS, HOT = 4000, 4000
+#: Places of grams that are compared at once; longer documents are gone through in overlapping parts.
+PLACE_BITS = 22
+PLACES = 1 << PLACE_BITS
 
 
 class RankBits:
@@ -128,6 +132,19 @@ def repeated_intervals(contents: list[np.ndarray], stream: np.ndarray, min_words
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def leftmost_least(g: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each width neighbours in g (all but the low PLACE_BITS bits are compared), the leftmost of equals. g has PLACES at most."""
+    place = U64(PLACES - 1)
+    least = (g & ~place) | np.arange(len(g), dtype=U64)
+    have = 1
+    while have * 2 <= width:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if width > have:
+        least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
+    return (least & place).astype(np.int64)
+
+
 def blocks(h: np.ndarray, at: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(document, start, windows, anchor, content) of the blocks of documents that lie one after another, as words h with offsets at."""
     n, grams = len(h), min_words - gram + 1
@@ -139,15 +156,7 @@ def blocks(h: np.ndarray, at: np.ndarray, min_words: int = MIN_WORDS, gram: int
     for i in range(gram):
         g = g * U64(0x9E3779B97F4A7C15) + h[i : n - gram + 1 + i]
     g = mix(g)
-    place = U64((1 << 24) - 1)
-    least = (g & ~place) | np.arange(len(g), dtype=U64)
-    width = 1
-    while width * 2 <= grams:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if grams > width:
-        least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])
-    anchor = (least & place).astype(np.int64)  # of each window; n - min_words + 1 of them
+    anchor = np.concatenate([s + leftmost_least(g[s : s + PLACES], grams) for s in range(0, n - min_words + 1, PLACES - grams + 1)])  # of each window
     real = doc[: len(anchor)] == doc[min_words - 1 :]
     new = np.ones(len(anchor), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | ~real[:-1]
@@ -182,7 +191,7 @@ def block_table(docs: DataFrame, min_words: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    return map_texts(source, run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def with_words(docs: DataFrame, wanted: DataFrame, columns: list[str], min_words: int) -> DataFrame:
@@ -204,7 +213,7 @@ def with_words(docs: DataFrame, wanted: DataFrame, columns: list[str], min_words
                 yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in columns], pa.array([h[s:e].tobytes() for s, e in zip(start, end)], pa.binary())], [*columns, "words"])
 
     fields = [wanted.schema[c] for c in columns]
-    return map_texts(joined, run, T.StructType([*fields, T.StructField("words", T.BinaryType())]))
+    return joined.mapInArrow(run, T.StructType([*fields, T.StructField("words", T.BinaryType())]))
 
 
 def search_shards(contents: DataFrame, shards: int, min_words: int) -> DataFrame:
@@ -246,16 +255,20 @@ def count_windows(contents: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shard_blocks: int = SHARD_BLOCKS, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word) of the passages of min_words words or more that occur at two places or more; start_word from 0, end_word beyond the last."""
-    every = materialise(block_table(docs, min_words), "blocks")
+    spark = docs.sparkSession
+    with settings(spark, SMALL_BATCHES):
+        every, path = stored(block_table(docs, min_words), "blocks")
     by_content = every.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"))
     by_anchor = by_content.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total > 1").select("anchor", "contents")
     shared = materialise(every.join(by_content.join(by_anchor, "anchor"), ["anchor", "content"]), "shared")
+    drop_table(spark, path)
 
     differ = shared.where("contents > 1")
     once = differ.where("n = 1").select(*PLACE, "start", "windows", "anchor", "content", "contents", F.lit(True).alias("once"))
     more = differ.where("n > 1").groupBy("anchor", "content").agg(F.min(F.struct(*PLACE, "start", "windows")).alias("p"), F.first("contents").alias("contents")).select("p.*", "anchor", "content", "contents", F.lit(False).alias("once"))
     wanted = once.unionByName(more)
-    contents = materialise(with_words(docs, wanted, ["anchor", "content", "contents", "once"], min_words), "contents")
+    with settings(spark, SMALL_BATCHES):
+        contents = materialise(with_words(docs, wanted, ["anchor", "content", "contents", "once"], min_words), "contents")
     shards = max(1, -(-contents.where(F.col("contents") <= hot).count() // shard_blocks))
     partial = search_shards(contents.where(F.col("contents") <= hot), shards, min_words)
     partial = partial.unionByName(count_windows(contents.where(F.col("contents") > hot), min_words))
