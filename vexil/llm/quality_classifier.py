@@ -4,12 +4,15 @@ Tokens (runs of word characters, runs of other signs) and pairs of neighbouring
 indicators. Each indicator is scaled by the log ratio of its smoothed counts in good and bad documents, rows are
 scaled to length 1, and a linear hinge-loss model is fitted by dual coordinate descent.
 
-The fit sees at most max_labelled labelled rows, those with the smallest hashes of doc_id; that bound makes it safe to
-broadcast them, so texts are never shuffled. Every document is scored, over its whole text, where it is read.
-
-Defined results: a null text counts as empty; a text without a token has no score and is rejected. Label rows with a
-null are left out; of several labels for one doc_id the lowest counts. Repeated documents each get their own, equal
-result. Without labels of both classes nothing can be learnt: every document with a token scores 0 and is kept. Other
+The fit sees at most max_labelled labelled documents, those with the smallest hashes of doc_id, and of these as many as
+have max_bytes of indicators at most. A doc_id counts as one document however many rows repeat it, so both bounds hold
+for rows too: the labels are broadcast, and no more than that reaches the driver. Every document is scored, over its whole text,
+where it is read.
+
+Defined results: a null text counts as empty; a text without a token has no score and is rejected; a long text is scored
+whole. Label rows with a null are left out; of several labels for one doc_id the lowest counts, of several texts the one
+whose packed indicators are least. Repeated documents each get their own, equal result; a score that equals the threshold
+is kept. An empty table gives an empty one. Without labels of both classes nothing can be learnt: every document with a token scores 0 and is kept. Other
 columns pass through, but an input column named like the score is replaced.
 """
 
@@ -21,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexil.llm.common import CLASS, U64, documents_of, map_texts, mix, string_buffers, sub_batches, token_hashes
+from vexil.llm.common import CLASS, SMALL_BATCHES, U64, documents_of, drop_table, mix, settings, stored, string_buffers, sub_batches, token_hashes
 
 BITS = 18
-MAX_LABELLED = 8000
+MAX_LABELLED, MAX_BYTES = 8000, 64 << 20
 SCORE = "quality_score"
 
 
@@ -43,10 +46,11 @@ def indicators(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of each range of values; 0 for an empty range."""
-    total = np.zeros(len(values) + 1)
-    np.cumsum(values, out=total[1:])
-    return total[starts[1:]] - total[starts[:-1]]
+    """The sum of each range of values, whatever lies beside it; 0 for an empty range. The ranges lie one after another and cover all values."""
+    out, has = np.zeros(len(starts) - 1), np.flatnonzero(starts[1:] > starts[:-1])
+    if len(has):
+        out[has] = np.add.reduceat(values.astype(np.float64), starts[has])
+    return out
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
@@ -104,14 +108,26 @@ def feature_rows(joined: DataFrame, columns: list[str], bits: int = BITS) -> Dat
                 packed += [found[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in columns], pa.array(packed, pa.binary())], ["doc_id", *columns, "features"])
 
-    return map_texts(joined, run, T.StructType([joined.schema["doc_id"], *[joined.schema[c] for c in columns], T.StructField("features", T.BinaryType())]))
+    return joined.mapInArrow(run, T.StructType([joined.schema["doc_id"], *[joined.schema[c] for c in columns], T.StructField("features", T.BinaryType())]))
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, columns: list[str], max_labelled: int, bits: int = BITS, max_bytes: int = MAX_BYTES) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The indicators of at most max_labelled labelled documents with max_bytes altogether, one row for each doc_id in order of its hash, and their label columns."""
+    names = [f"__{c}" for c in columns]
+    rows = feature_rows(labelled_rows(docs, labels, columns, max_labelled), names, bits)
+    spark, order = docs.sparkSession, [F.xxhash64("doc_id"), F.col("doc_id")]
+    with settings(spark, SMALL_BATCHES):
+        each, path = stored(rows.groupBy("doc_id", *names).agg(F.min("features").alias("features")), "labelled")
+    sizes = each.select(*order, F.length("features").alias("n")).orderBy(*order).toArrow().column("n").to_numpy()  # max_labelled numbers
+    take = int(np.searchsorted(np.cumsum(sizes), max_bytes, "right"))
+    table = each.orderBy(*order).limit(take).toArrow()
+    drop_table(spark, path)
+    return [np.frombuffer(x.as_py(), np.uint32) for x in table.column("features")], [table.column(c).to_numpy().astype(int) for c in names]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BITS, c: float = 1.0) -> tuple[np.ndarray, np.ndarray, float] | None:
     """Scales, weights (by scaled indicator) and bias; None where labels of both classes are lacking."""
-    table = feature_rows(labelled_rows(docs, labels, ["quality"], max_labelled), ["__quality"], bits).orderBy(F.xxhash64("doc_id"), "doc_id", "features").toArrow()
-    rows = [np.frombuffer(x, np.uint32) for x in table.column("features").to_pylist()]
-    y = np.array(table.column("__quality").to_pylist(), dtype=int)
+    rows, (y,) = labelled_features(docs, labels, ["quality"], max_labelled, bits)
     use = [i for i, r in enumerate(rows) if len(r)]
     rows, y = [rows[i] for i in use], y[use] if len(use) else y[:0]
     if len(set(y.tolist())) < 2:
@@ -132,15 +148,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, max_lab
             squares = m[0] ** 2
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            scores = np.full(batch.num_rows, np.nan)
             for a, b in sub_batches(offsets):
                 found, starts = indicators(data, offsets[a : b + 1], bits)
                 if m is None:
                     own = np.zeros(b - a)
                 else:
                     own = sums(m[1][found], starts) / np.sqrt(np.maximum(sums(squares[found], starts), 1e-12)) + m[2]
-                scores[a:b] = np.where(np.diff(starts) > 0, own, np.nan)
-            out = pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(scores, pa.float64(), from_pandas=True)], [*[f.name for f in kept], SCORE])
-            yield out if keep_all else out.filter(pa.array(scores >= threshold))
+                scores, part = np.where(np.diff(starts) > 0, own, np.nan), batch.slice(a, b - a)
+                out = pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(scores, pa.float64(), from_pandas=True)], [*[f.name for f in kept], SCORE])
+                yield out if keep_all else out.filter(pa.array(scores >= threshold))
 
-    return map_texts(docs, run, T.StructType([*kept, T.StructField(SCORE, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(SCORE, T.DoubleType())]))
