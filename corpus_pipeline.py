@@ -2,6 +2,11 @@
 
 Rows pass from stage to stage with the columns of documents; n_chars follows the text where lines are taken out. Other
 columns, if a table has any, pass through up to the last stage, which has tokens in place of the text.
+
+Defined results: documents with a null, empty or blank text have no quality score and go in the first stage, as do those
+that it rejects. Rows equal in doc_id and text keep the same lines and become one in near-dedup; a null doc_id is a
+document like others. Long texts are handled whole by all stages. Mixing may draw a document several times; its copies
+come out as equal rows. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,8 +17,8 @@ from pyspark.sql import functions as F
 from vexil.llm import bpe, line_dedup, minhash_dedup, mixing, quality_classifier
 from vexil.llm.common import materialise, read_table
 
-#: Shares of words after mixing. All clean words are spent, once each, so documents that are clean stay.
-TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+#: Shares of words after mixing, of as many words as come in: clean documents are drawn at rates above 1, toxic ones seldom; low ones went in the first stage.
+TARGETS = {"clean": 0.95, "low": 0.0, "toxic": 0.05}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents are drawn at their rates, at most once each."""
-    return mixing.sample(docs, read_table(spark, sf_dir, "labels"), TARGETS, spend="clean", max_rate=1.0)
+    """Operator 4: documents are drawn at their rates, as often as these say."""
+    return mixing.sample(docs, read_table(spark, sf_dir, "labels"), TARGETS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
