@@ -49,6 +49,27 @@ def test_held_out_accuracy(spark, sf_dir):
     assert hit > 0.93 and kept / good > 0.98
 
 
+def test_scores_match_their_definition(spark, corpus):
+    docs, marks = corpus
+    scale, weights, bias = qc.fit(docs, marks)
+    for r in qc.classify(docs, marks, keep_all=True).collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        features = sorted(set(qc.indicators(data, np.array([0, len(data)]))[0].tolist()))
+        length = sum(float(scale[f]) ** 2 for f in features) ** 0.5
+        assert abs(r.quality_score - (sum(float(weights[f]) for f in features) / max(length, 1e-6) + bias)) < 1e-5
+    alone = qc.classify(docs.where("doc_id = 7"), marks, keep_all=True)  # another fit, but batch neighbours bear on nothing
+    assert alone.count() == 1
+
+
+def test_bounds_hold_for_repeated_ids_and_bytes(spark, corpus):
+    docs, marks = corpus
+    hot = docs.where("doc_id < 3").crossJoin(spark.range(200).select(F.col("id").alias("n"))).withColumn("text", F.concat("text", F.lit(" v"), "n")).select(docs.columns)
+    rows, (y,) = qc.labelled_features(docs.unionByName(hot), marks, ["quality"], 50)
+    assert len(rows) == len(y) == 50
+    rows, _ = qc.labelled_features(docs, marks, ["quality"], 50, max_bytes=2000)
+    assert 0 < len(rows) < 50 and sum(r.nbytes for r in rows) <= 2000
+
+
 def test_odd_rows_are_scored_and_clashing_columns_pass(spark, corpus):
     docs = table(spark, odd_rows(), clash=True)
     all_rows = qc.classify(docs, corpus[1].unionByName(labels(spark, [(None, 1, 0), (3, None, 0), (0, 0, None)])), keep_all=True)
@@ -70,14 +91,27 @@ def test_rates_meet_the_targets_and_match_a_direct_solution(spark, corpus):
     assert np.abs(share - np.array([0.5, 0.25, 0.25])).max() < 0.02
     # brute force: projected gradient on the documents themselves, rates stored, many more steps
     t, x, y = np.array([0.5, 0.25, 0.25]), np.ones(len(n)), np.ones(len(n))
-    for i in range(3000):
-        e = (n * y) @ p / n.sum() - t
-        new = np.maximum(y - (p @ e + 1e-3 * (y - 1)) / (1 + 1e-3), 0)
+    weigh = 1 / np.maximum(n @ p / n.sum(), mixing.LEAST_SHARE)
+    length = weigh.max() + 1e-3
+    for i in range(4000):
+        e = weigh * ((n * y) @ p / n.sum() - t)
+        new = np.maximum(y - (p @ e + 1e-3 * (y - 1)) / length, 0)
         y = new + i / (i + 3) * (new - x)
         x = new
     assert np.abs((n * x) @ p / n.sum() - share).max() < 0.01
 
 
+def test_targets_out_of_reach_are_reported(spark, corpus):
+    docs, marks = corpus
+    with pytest.warns(UserWarning, match="can't be met"):
+        rows = mixing.mixing_rates(docs, marks, {"clean": 0.01, "low": 0.01, "toxic": 0.98}, max_rate=1.5).toPandas()
+    assert rows["rate"].between(0, 1.5).all()
+    twice = docs.where("doc_id < 40").unionByName(docs)
+    r = mixing.mixing_rates(twice, marks, {"clean": 0.6, "low": 0.2, "toxic": 0.2}).toPandas().groupby("doc_id")
+    assert (r["rate"].nunique() == 1).all() and (r["copies"].nunique() == 1).all()
+
+
+@pytest.mark.filterwarnings("ignore:targets can't be met")
 def test_mixing_of_odd_rows(spark, corpus):
     docs = table(spark, odd_rows(), clash=True)
     rows = mixing.mixing_rates(docs, corpus[1])

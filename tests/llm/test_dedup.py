@@ -39,14 +39,28 @@ def test_lines_stay_at_their_first_place(spark, batches):
     assert sorted(map(tuple, got), key=str) == sorted(first_lines(rows), key=str)
 
 
-def test_runs_are_compacted(spark):
-    rows = [(i, f"line {i}\nshared") for i in range(40)]
-    runs = line_dedup.Runs(spark, 2)
-    docs = table(spark, rows)
+def test_later_batches_meet_the_runs_of_earlier_ones(spark, tmp_path):
+    r = random.Random(8)
+    pool = [prose(4, i) for i in range(80)]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(5))) for i in range(100)]
+    want, got = sorted(first_lines(rows)), []
     for b in range(5):
-        part = docs.where(F.pmod("doc_id", F.lit(5)) == b).select(F.xxhash64("text").alias("h1"), F.lit(0).cast("long").alias("h2"), "doc_id", F.lit(0).cast("long").alias("key"), F.lit(0).alias("line_no"))
-        runs.add(part)
-    assert [len(x) for x in runs.levels] == [1, 1] and runs.finish().count() == 40
+        runs = line_dedup.LineRuns.open(spark, f"{tmp_path}/runs", 2)  # each batch as a job of its own
+        got += map(tuple, line_dedup.add_batch(table(spark, rows[20 * b : 20 * b + 20]), runs).select("doc_id", "text").collect())
+        runs.close()
+    assert sorted(got) == want
+    assert [len(x) for x in line_dedup.LineRuns.open(spark, f"{tmp_path}/runs").levels] == [1, 1]
+    (tmp_path / "runs" / "manifest-999999999999").write_text('{"version": 9')  # a manifest that was not finished
+    runs = line_dedup.LineRuns.open(spark, f"{tmp_path}/runs")
+    assert len(runs.all()) == 2 and line_dedup.add_batch(table(spark, rows), runs).count() == 0
+
+
+def test_ids_of_other_types_and_runs_in_order(spark):
+    docs = table(spark, [(i, f"line {i % 7}\nline {i}") for i in range(40)])
+    by_text = line_dedup.deduplicate(docs.withColumn("doc_id", F.format_string("d%03d", "doc_id")), 4).select("doc_id", "text").collect()
+    by_number = line_dedup.deduplicate(docs, 4).select("doc_id", "text").collect()
+    assert sorted((int(r.doc_id[1:]), r.text) for r in by_text) == sorted(map(tuple, by_number))
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
 
 
 def test_line_dedup_of_odd_rows(spark):
@@ -95,6 +109,28 @@ def test_passages_match_brute_force(spark, hot):
     assert sorted(map(tuple, got)) == brute_intervals(rows, 12)
 
 
+def test_long_documents_are_gone_through_in_parts(spark, monkeypatch):
+    rows = [(i, " ".join([prose(40, i), prose(15, 77), prose(200, 50 + i), prose(13, 78)])) for i in range(6)]
+    monkeypatch.setattr(sd, "PLACES", 64)
+    assert sorted(map(tuple, sd.repeated_passages(table(spark, rows), 12).collect())) == brute_intervals(rows, 12)
+
+
+def test_a_passage_beyond_16_million_words_has_the_anchors_of_one_before():
+    n = (1 << 24) + 400_000
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    passage = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    places = (100, 1_000_000, n - 1000)
+    for p in places:
+        h[p : p + 400] = passage
+    _, start, windows, anchor, content = sd.blocks(h, np.array([0, n]))
+    inside = []
+    for p in places:
+        own = np.flatnonzero((start >= p) & (start + windows + sd.MIN_WORDS - 1 <= p + 400))
+        inside.append(sorted(zip((start[own] - p).tolist(), anchor[own].tolist(), content[own].tolist())))
+    assert len(inside[0]) > 5 and inside[0][1:-1] == inside[1][1:-1] == inside[2][1:-1]
+
+
 def test_backward_search_counts(spark):
     rng = np.random.default_rng(3)
     blocks = [rng.integers(0, 4, 30).astype(np.uint64) for _ in range(12)]
@@ -166,6 +202,24 @@ def test_near_dedup_of_odd_rows(spark):
     assert mh.deduplicate(table(spark, [])).count() == 0 and mh.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(1, ""), (1, ""), (2, None), (2, None), (None, ""), (None, ""), (3, "...")]
+    assert mh.near_duplicates(table(spark, rows)).count() == 0 and mh.deduplicate(table(spark, rows)).count() == 7
+    twice = rows + [(4, prose(20, 1))] * 3 + [(None, prose(20, 1)), (None, prose(20, 9)), (None, prose(20, 9))]
+    left = mh.deduplicate(table(spark, twice)).collect()
+    assert len(left) == 9 and sorted((r.doc_id is None, r.text) for r in left if r.text and r.text not in ("", "...")) == sorted([(True, prose(20, 1)), (True, prose(20, 9))])
+
+
+def test_capitals_with_accents_are_folded(spark):
+    text = " ".join(w + "é" for w in prose(40, 2).split())
+    assert mh.deduplicate(table(spark, [(1, text), (2, text.upper())])).count() == 1
+
+
+def test_components_are_never_returned_unfinished(spark):
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), most_rounds=1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (102, 102), (None, 5), (200, 201), (200, 202), (200, 203)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

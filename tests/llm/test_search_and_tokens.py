@@ -4,9 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from llm.helpers import labels, odd_rows, prose, table
-from vexil.llm import bpe, minhash_dedup, pivot_search as ps, quality_classifier
+from llm.helpers import odd_rows, prose, table
+from vexil.llm import bpe, pivot_search as ps
 from vexil.llm.common import read_table
 
 
@@ -33,6 +32,30 @@ def test_neighbours_match_brute_force(spark, block):
         assert pairs == sorted(pairs) and i not in {n for _, n in pairs}
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e7, 1e8])
+def test_stated_queries_match_brute_force_far_from_the_origin(spark, shift):
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=(300, 5)), rng.normal(size=(200, 5)) * 0.05 + 3, np.tile(rng.normal(size=5), (40, 1))]) + shift
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    # small blocks, and queries that come in many chunks
+    for r in ps.nearest_neighbours(df, 6, asked=F.col("vec_id") % 3 == 0, block=32, query_bytes=4000).collect():
+        got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id, r.distance))
+    assert set(got) == set(range(0, len(v), 3))
+    for i, found in got.items():
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        order = sorted((x, j) for j, x in enumerate(d) if j != i)[:6]
+        assert sorted(found) == [(n + 1, j, round(float(x), 6)) for n, (x, j) in enumerate(order)]
+
+
+def test_a_group_of_equal_vectors_larger_than_a_block(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(1000, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = ps.nearest_neighbours(df, 3, asked=F.col("vec_id").isin(0, 250, 1000), block=20).collect()
+    assert sorted((r.vec_id, r.rank, r.neighbour_id, r.distance) for r in got if r.vec_id < 1000) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, 0.0), (250, 1, 0, 0.0), (250, 2, 1, 0.0), (250, 3, 2, 0.0)]
+    assert sorted(r.neighbour_id for r in got if r.vec_id == 1000) == [0, 1, 2]
+    assert ps.nearest_neighbours(df, 3, asked=F.col("vec_id") < 0).count() == 0
+
+
 def test_unusable_vectors_are_left_out(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [1.0]), (5, [None, 1.0]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (None, [0.0, 1.0]), (8, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -102,42 +125,21 @@ def test_tokens_of_odd_rows(spark):
     assert bpe.encode(table(spark, [])).count() == 0
 
 
-def test_pipeline_keeps_what_its_stages_keep(spark, sf_dir):
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5 and "near" in names[2].lower()
-    docs, columns = read_table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "n_chars"]
-    marks = read_table(spark, sf_dir, "labels")
-    sizes = [docs.count()]
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = kept
-        kept = stage(spark, before, sf_dir).cache()
-        assert kept.columns == columns, name
-        sizes.append(kept.count())
-        if name == "quality classifier":
-            assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality_classifier.classify(docs, marks).collect())
-        if name == "line dedup":
-            seen = [x for r in kept.collect() for x in r.text.split("\n") if x.strip(" ")]
-            assert len(seen) == len(set(seen))
-            assert kept.where("n_chars <> length(text)").count() == 0
-        if name == "MinHash near-dedup":
-            assert minhash_dedup.near_duplicates(kept).count() <= 2
-        if name.startswith("mixing"):
-            clean = marks.where("quality = 1 AND toxic = 0").select("doc_id")
-            had, has = before.join(clean, "doc_id", "left_semi").count(), kept.join(clean, "doc_id", "left_semi").count()
-            assert has > 0.97 * had
-    assert all(a >= b for a, b in zip(sizes, sizes[1:])) and sizes[-1] > 0.5 * sizes[0]
-    final = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
-    assert final.count() == sizes[-1] and final.where("NOT round_trip").count() == 0
-
-
-def test_pipeline_of_odd_rows(spark, tmp_path):
-    marks = [(i, 1, 0) for i in range(0, 40)] + [(i, 0, 0) for i in range(100, 120)] + [(i, 1, 1) for i in range(200, 230)]
-    rows = [(i, prose(20, i), "en", "web") for i in range(40)] + [(i, " ".join(w + "%%%" for w in prose(20, i).split()), "en", "web") for i in range(100, 120)] + [(i, prose(20, i) + " trash vermin scum", "en", "web") for i in range(200, 230)]
-    table(spark, rows + odd_rows(), clash=True).write.parquet(f"{tmp_path}/documents.parquet")
-    labels(spark, marks).write.parquet(f"{tmp_path}/labels.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.count() > 40 and {"doc_id", "token_ids", "__key"} <= set(got.columns)
-    table(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
-    labels(spark, []).write.parquet(f"{tmp_path}/empty/labels.parquet")
-    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+def test_long_words_take_time_in_proportion(automaton):
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        text = "ab" * n
+        began = time.perf_counter()
+        ids = automaton.encode(text)
+        took.append(time.perf_counter() - began)
+        assert automaton.decode(ids) == text
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_forgotten_transitions_and_words_come_again(reference_encoding, monkeypatch):
+    monkeypatch.setattr(bpe.Automaton, "MOST_TRANSITIONS", 50)
+    monkeypatch.setattr(bpe.Automaton, "MOST_WORDS", 20)
+    a, text = bpe.compile_ranks(), prose(400, 3)
+    assert a.encode(text).tolist() == a.encode(text).tolist() == reference_encoding.encode_ordinary(text)
