@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vexil.functions import vectors as V
+from vexil.operators.order import with_previous
 
 TASKS = ("tool", "embed", "cluster", "search")
 PAYLOAD_MOST = 200_000
@@ -27,7 +27,7 @@ def renormalised(rows: DataFrame, low: float = 0.95, high: float = 1.05) -> Data
 
 def order_violations(rows: DataFrame, by: str = "pos") -> DataFrame:
     """Rows whose id is not above the one before them in order of by."""
-    return rows.withColumn("before", F.lag("id").over(Window.orderBy(by))).where("before IS NOT NULL AND id <= before").select(by, "id", "before")
+    return with_previous(rows.select(by, "id"), F.col("id"), "before", by).where("before IS NOT NULL AND id <= before").select(by, "id", "before")
 
 
 def vector_report(rows: DataFrame, low: float = 0.95, high: float = 1.05) -> DataFrame:
@@ -52,6 +52,52 @@ def bounds_violations(rows: DataFrame) -> DataFrame:
     return rows.where("k_min > k_max OR chosen_k < k_min OR chosen_k > k_max OR k_min < 1")
 
 
+def id_estimate_violations(rows: DataFrame) -> DataFrame:
+    """(k_min, k_max, reason) of estimates of the range of k that are empty or turned round."""
+    reason = F.when((F.col("k_min") < 1) | (F.col("k_max") < 1), "zero").when(F.col("k_min") > F.col("k_max"), "order")
+    return rows.select("k_min", "k_max", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def trace_violations(trace: DataFrame, chosen_k: int | None = None) -> DataFrame:
+    """(k, reason) of a trace (k, objective, phase): an unknown phase, an objective that is no finite number of 0 or more, and a chosen k that was never tried."""
+    j = F.col("objective")
+    reason = F.when(~F.col("phase").isin("coarse", "fine") | F.col("phase").isNull(), "phase").when(j.isNull() | F.isnan(j) | (j < 0) | (j == float("inf")), "objective")
+    found = trace.select(F.col("k").cast("long").alias("k"), reason.alias("reason")).where("reason IS NOT NULL")
+    if chosen_k is None:
+        return found
+    lacking = trace.agg(F.count_if(F.col("k") == chosen_k).alias("n")).where("n = 0").select(F.lit(chosen_k).cast("long").alias("k"), F.lit("chosen_k").alias("reason"))
+    return found.unionByName(lacking)
+
+
+def stability_violations(rows: DataFrame) -> DataFrame:
+    """Rows of stability() whose figures can't be: outside 0 .. 1, a negative deviation or drift, or not finite."""
+    share = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.col(c) > 1 + 1e-9)
+    least = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0)
+    return rows.where(share("mean_nmi") | share("mean_jaccard") | least("std_nmi") | least("mean_drift"))
+
+
+def centroid_number_violations(centroids: DataFrame) -> DataFrame:
+    """(n, least, most, distinct) where the numbers cid are not 0 .. n - 1, each once."""
+    found = centroids.agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("least"), F.max("cid").alias("most"), F.countDistinct("cid").alias("distinct"))
+    return found.where("n > 0 AND (least <> 0 OR most <> n - 1 OR distinct <> n)")
+
+
+def clustering_violations(assignments: DataFrame, centroids: DataFrame, expected: int) -> DataFrame:
+    """(reason, n) of a clustering of expected rows: another number of assignments, no centroids, or assignments to centroids that don't exist. No rows expected are always right."""
+    if not expected:
+        return assignments.select(F.lit("").alias("reason"), F.lit(0).cast("long").alias("n")).limit(0)
+    rows = assignments.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected).select(F.lit("rows").alias("reason"), "n")
+    none = centroids.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no_centroids").alias("reason"), "n")
+    lost = assignment_violations(assignments, centroids).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("unknown_centroid").alias("reason"), "n")
+    return rows.unionByName(none).unionByName(lost)
+
+
+def gate_violations(bounds: DataFrame) -> DataFrame:
+    """Rows of hierarchy.k_bounds_table whose gate doesn't fit the stage: none at stages 1 and 2, stop or continue at stage 3."""
+    fits = F.when(F.col("stage") < 3, F.col("gate") == "none").otherwise(F.col("gate").isin("stop", "continue"))
+    return bounds.where(~F.coalesce(fits, F.lit(False)))
+
+
 def membership_violations(members: DataFrame) -> DataFrame:
     """(reason, n): ids twice, or parents that a mid cluster has more than one of."""
     twice = members.groupBy("id").count().where("count > 1").agg(F.lit("duplicate_id").alias("reason"), F.count(F.lit(1)).alias("n"))

@@ -21,16 +21,22 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file whole or not at all: beside it first, then renamed over it."""
+    """Writes a small file whole or not at all: beside it first, then renamed over it in one step, so that at any moment there is the old one or the new one."""
     p, fs = _fs(spark, path)
     side, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(side, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(side, p):
-        raise OSError(f"{path} could not be written")
+    rename_over(spark, side, p, fs)
+
+
+def rename_over(spark: SparkSession, side, p, fs) -> None:
+    """One step of the file system: FileContext's rename with OVERWRITE."""
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(option, 1)
+    over[0] = option.OVERWRITE
+    uri = p.toUri() if p.toUri().getScheme() else fs.getUri()
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, spark._jsc.hadoopConfiguration()).rename(side, p, over)
 
 
 def read_small(spark: SparkSession, path: str) -> str | None:
@@ -51,9 +57,15 @@ def published(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     return spark.read.parquet(path) if path else None
 
 
-def append_log(entries: DataFrame, path: str, per_commit: int | None = None) -> None:
-    """Appends log entries; with per_commit, as many rows at most to each file."""
-    entries.write.mode("append").option("maxRecordsPerFile", per_commit or 0).parquet(path)
+COMMIT_POLICIES = ("auto", "strict_per_record", "batch_group_commit")
+
+
+def append_log(entries: DataFrame, path: str, per_commit: int | None = None, policy: str = "auto") -> None:
+    """Appends log entries; with per_commit, as many rows at most to each file. The policy strict_per_record has a file for each entry, batch_group_commit one for each partition; auto is the latter."""
+    if policy not in COMMIT_POLICIES:
+        raise ValueError(f"no such policy: {policy}")
+    rows = 1 if policy == "strict_per_record" else per_commit or 0
+    entries.write.mode("append").option("maxRecordsPerFile", rows).parquet(path)
 
 
 def truncate_log(spark: SparkSession, path: str, root: str, upto: int) -> str:
@@ -69,25 +81,65 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def write_artifact(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Publishes a table and gives its manifest row (name, rows, digest)."""
-    path = publish(df, root, name)
-    return digest(df.sparkSession.read.parquet(path)).select(F.lit(name).alias("name"), "rows", "digest")
+    """Publishes a table and gives its manifest row (name, rows, bytes, digest); bytes are those of the files written."""
+    spark, path = df.sparkSession, publish(df, root, name)
+    p, fs = _fs(spark, path)
+    size = fs.getContentSummary(p).getLength()
+    return digest(spark.read.parquet(path)).select(F.lit(name).alias("name"), "rows", F.lit(size).cast("long").alias("bytes"), "digest")
 
 
 def manifest(rows: DataFrame) -> DataFrame:
-    """(manifest): one JSON object of all manifest rows."""
-    return rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("name", "rows", "digest"))).alias("artifacts"))).alias("manifest"))
+    """(manifest): one JSON object of all manifest rows, of which there is one for each artifact."""
+    return rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("artifacts"))).alias("manifest"))
+
+
+def read_artifact(spark: SparkSession, root: str, name: str, expected: DataFrame | None = None) -> DataFrame:
+    """A published table. With the manifest rows that it should have, other rows or another digest fail."""
+    table = published(spark, root, name)
+    if table is None:
+        raise ValueError(f"no artifact {name} below {root}")
+    if expected is not None:
+        want, got = expected.where(F.col("name") == name).first(), digest(table).first()
+        if want is None or (want["rows"], want["digest"]) != (got["rows"], got["digest"]):
+            raise ValueError(f"artifact {name} doesn't agree with its manifest")
+    return table
+
+
+def json_artifact(df: DataFrame, path: str) -> None:
+    """A table as JSON lines, the form of the first generation's artifacts."""
+    df.write.mode("overwrite").json(path)
+
+
+def monitor_csv(values: DataFrame, path: str) -> None:
+    """The parsed lines of a board monitor as CSV with a header; CPU loads are joined by blanks, temperatures are one column a sensor."""
+    sensors = sorted(r[0] for r in values.select(F.explode(F.map_keys("celsius"))).distinct().limit(1000).collect())
+    plain = [c for c in values.columns if c not in ("celsius", "cpu_percent")]
+    heat = [F.col("celsius")[s].alias(f"celsius_{s}") for s in sensors]
+    values.select(*plain, F.array_join("cpu_percent", " ").alias("cpu_percent"), *heat).write.mode("overwrite").option("header", True).csv(path)
+
+
+def _through(lists: pd.Series, kind, convert) -> pd.Series:
+    """convert of the elements of all lists, cut into lists again; null lists stay null."""
+    real = lists.notna().to_numpy()
+    own = lists[real].to_list()
+    if not own:
+        return pd.Series([None] * len(lists), dtype=object)
+    ends = np.cumsum([len(x) for x in own])
+    out = np.empty(len(lists), dtype=object)
+    for i, x in zip(np.flatnonzero(real), np.split(convert(np.concatenate([np.asarray(x, kind) for x in own])), ends[:-1])):
+        out[i] = x
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.ShortType()))
 def half_bits(v: pd.Series) -> pd.Series:
-    """The bits of an array of floats as half floats."""
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).view(np.int16))
+    """The bits of an array of floats as half floats, all arrays of a batch at once."""
+    return _through(v, np.float32, lambda x: x.astype(np.float16).view(np.int16))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_half_bits(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else np.asarray(x, np.int16).view(np.float16).astype(np.float32))
+    return _through(b, np.int16, lambda x: x.view(np.float16).astype(np.float32))
 
 
 def precisions(rows: DataFrame) -> DataFrame:
