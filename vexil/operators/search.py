@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vexil.functions import vectors as V
+from vexil.operators import kmeans
 
 TOP_K = 10
 #: Queries of at most so many values are broadcast and centroids too; more queries meet the rows by blocks.
@@ -136,30 +137,65 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, m
 
 
 def top_centroids(vectors: DataFrame, centroids: DataFrame, m: int = 2, id_column: str = "embedding_id", vector_column: str = "vector") -> DataFrame:
-    """(id, top): the m centroids of highest dot product in order, the lower number first among equals. centroids(cid, centroid) are broadcast: there are few, and their size is checked."""
-    scored = _pairs(vectors, centroids, id_column, vector_column).select(id_column, "cid", V.dot("__v", "centroid").alias("s"))
-    lists = scored.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "cid"))).alias("l"))
-    return lists.select(id_column, F.transform(F.slice("l", 1, m), lambda x: x["cid"]).alias("top"))
+    """(id, top): the m centroids of highest dot product in order, the lower number first among equals."""
+    return _best_centroids(vectors, centroids, m, id_column, vector_column).select(id_column, F.col("cids").alias("top"))
 
 
-def _pairs(vectors: DataFrame, centroids: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+def _best_centroids(vectors: DataFrame, centroids: DataFrame, m: int, id_column: str, vector_column: str) -> DataFrame:
+    """(id, cids, scores) by matrix products where the rows are. centroids(cid, centroid) of at most BROADCAST_VALUES are broadcast; more of them are the rows and the vectors the queries of a search by blocks."""
     n, values = centroids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()
-    small = F.broadcast(centroids) if values <= BROADCAST_VALUES else centroids
-    return vectors.select(id_column, F.col(vector_column).alias("__v")).crossJoin(small)
+    rows = vectors.where(F.col(vector_column).isNotNull())
+    if values > BROADCAST_VALUES:
+        found = search_many(centroids, rows.select(F.col(id_column).alias("query_id"), F.col(vector_column).alias("query")), m, "dot", "cid", "centroid")
+        lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "cid", "score"))).alias("l"))
+        return lists.select(F.col("query_id").alias(id_column), F.transform("l", lambda x: x["cid"]).alias("cids"), F.transform("l", lambda x: x["score"]).alias("scores"))
+    if not n:
+        return rows.select(id_column, F.lit(None).cast("array<long>").alias("cids"), F.lit(None).cast("array<double>").alias("scores")).limit(0)
+    table = centroids.select("cid", V.doubles("centroid").alias("c")).toArrow().sort_by("cid")
+    shared = vectors.sparkSession.sparkContext.broadcast((table.column("cid").to_numpy(), np.array(table.column("c").to_pylist())))
+
+    def run(batches):
+        cids, c = shared.value
+        width = min(m, len(cids))
+        for b in batches:
+            if b.num_rows:
+                x = b.column(vector_column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                s = x @ c.T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :width]
+                lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, width, dtype=np.int32), pa.array(np.ascontiguousarray(a).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(id_column), lists(cids[top]), lists(np.take_along_axis(s, top, 1))], [id_column, "cids", "scores"])
+
+    schema = T.StructType([rows.schema[id_column], T.StructField("cids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    return rows.select(id_column, vector_column).mapInArrow(run, schema)
 
 
 def top_label(vectors: DataFrame, centroids: DataFrame, id_column: str = "embedding_id", vector_column: str = "vector") -> DataFrame:
     """(id, cid, score): the best centroid by dot product."""
-    scored = _pairs(vectors, centroids, id_column, vector_column).select(id_column, F.struct((-V.dot("__v", "centroid")).alias("s"), "cid").alias("b"))
-    best = scored.groupBy(id_column).agg(F.min("b").alias("b"))
-    return best.select(id_column, F.col("b.cid").alias("cid"), (-F.col("b.s")).alias("score"))
+    best = _best_centroids(vectors, centroids, 1, id_column, vector_column)
+    return best.select(id_column, F.col("cids")[0].alias("cid"), F.col("scores")[0].alias("score"))
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_column: str = "embedding_id", vector_column: str = "vector") -> DataFrame:
-    """(id, cid, distance): the nearest centroid by squared distance, the lower number among equals."""
-    scored = _pairs(vectors, centroids, id_column, vector_column).select(id_column, F.struct(V.squared_distance("__v", "centroid").alias("d"), "cid").alias("b"))
-    best = scored.groupBy(id_column).agg(F.min("b").alias("b"))
-    return best.select(id_column, F.col("b.cid").alias("cid"), F.col("b.d").alias("distance"))
+    """(id, cid, distance): the nearest centroid by squared distance, the lower number among equals. Up to BROADCAST_VALUES it is a k-means assignment where the rows are; beyond, as of |x - c|^2 only x c - |c|^2 / 2 depends on c in a way that matters, a search by blocks for the best product."""
+    n, values = centroids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()
+    rows = vectors.where(F.col(vector_column).isNotNull())
+    if not n or values > BROADCAST_VALUES:
+        longer = rows.select(id_column, F.concat(V.doubles(vector_column), F.array(F.lit(1.0))).alias(vector_column))
+        half = F.array(-V.dot("centroid", "centroid") / 2)
+        best = _best_centroids(longer, centroids.select("cid", F.concat(V.doubles("centroid"), half).alias("centroid")), 1, id_column, vector_column)
+        joined = best.select(id_column, F.col("cids")[0].alias("cid")).join(rows.select(id_column, vector_column), id_column).join(centroids.select("cid", "centroid"), "cid")
+        return joined.select(id_column, "cid", V.squared_distance(vector_column, "centroid").alias("distance"))
+    table = centroids.select("cid", V.doubles("centroid").alias("c")).toArrow().sort_by("cid")
+    shared = vectors.sparkSession.sparkContext.broadcast((table.column("cid").to_numpy(), np.array(table.column("c").to_pylist())))
+
+    def run(batches):
+        cids, c = shared.value
+        for b in batches:
+            if b.num_rows:
+                pick, d = kmeans.assign(kmeans.matrix(b.column(vector_column)), c)
+                yield pa.RecordBatch.from_arrays([b.column(id_column), pa.array(cids[pick]), pa.array(d)], [id_column, "cid", "distance"])
+
+    return rows.select(id_column, vector_column).mapInArrow(run, T.StructType([rows.schema[id_column], T.StructField("cid", T.LongType()), T.StructField("distance", T.DoubleType())]))
 
 
 def sanity(vectors: DataFrame, query: Sequence[float], **columns: str) -> bool:
