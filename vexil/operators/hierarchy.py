@@ -59,8 +59,11 @@ def missing_vectors(assignments: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def membership(ids: DataFrame, tops: DataFrame, mids: DataFrame, lower: DataFrame, finals: DataFrame) -> DataFrame:
-    """(id, top_id, mid_id, lower_id, final_id) of all ids with top and mid of the same parent; lower_id is the number of a branch that continues, final_id of one that stops, NONE otherwise. lower has (top_id, mid_id, gate, lower_id)."""
-    joined = ids.select("id").join(tops, "id").join(mids.select("id", F.col("top_id").alias("parent"), "mid_id"), "id").where("parent = top_id")
+    """(id, top_id, mid_id, lower_id, final_id) of all ids with top and mid of the same parent; lower_id is the number of a branch that continues, final_id of one that stops, NONE otherwise. lower has (top_id, mid_id, gate, lower_id). An id without a top or mid cluster, or with a mid cluster of another parent, fails the query."""
+    joined = ids.select("id").join(tops, "id", "left").join(mids.select("id", F.col("top_id").alias("parent"), "mid_id"), "id", "left")
+    whole = F.col("top_id").isNotNull() & F.col("mid_id").isNotNull() & F.col("parent").eqNullSafe(F.col("top_id"))
+    failed = F.raise_error(F.concat(F.lit("no whole path of clusters for id "), F.col("id").cast("string"))).cast("long")
+    joined = joined.withColumn("top_id", F.when(whole, F.col("top_id")).otherwise(failed))
     branch = joined.join(lower.where("gate = 'continue'").select("top_id", "mid_id", "lower_id"), ["top_id", "mid_id"], "left")
     fill = lambda c: F.coalesce(F.col(c), F.lit(NONE)).cast("long").alias(c)
     return branch.join(finals.select("top_id", "mid_id", "final_id"), ["top_id", "mid_id"], "left").select("id", "top_id", "mid_id", fill("lower_id"), fill("final_id"))
