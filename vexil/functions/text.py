@@ -113,3 +113,62 @@ def duration(seconds: Column) -> Column:
     s = F.greatest(F.lit(0), F.floor(seconds)).cast("long")
     h, m, r = F.floor(s / 3600).cast("long"), F.floor((s % 3600) / 60).cast("long"), s % 60
     return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, r)).when(m > 0, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", r))
+
+
+def json_escape(text: Column | str) -> Column:
+    """The text as the inside of a JSON string."""
+    return _inside(F.to_json(F.array(F.col(text) if isinstance(text, str) else text)))
+
+
+def _inside(array: Column) -> Column:
+    return F.substring(array, F.lit(3), F.length(array) - 4)
+
+
+def json_unescape(inside: Column | str) -> Column:
+    """The text that the inside of a JSON string stands for; null if it is none."""
+    c = F.col(inside) if isinstance(inside, str) else inside
+    return F.from_json(F.concat(F.lit('["'), c, F.lit('"]')), "array<string>")[0]
+
+
+def progress_bar(done: Column | str, total: Column | str, width: int = 24) -> Column:
+    """[####----] of a share, which is kept within 0 and 1; a total of 0 or less is empty."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    share = F.when(c(total) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), c(done) / c(total)))).otherwise(0.0)
+    full = F.floor(share * width).cast("int")
+    return F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full), F.lit("]"))
+
+
+def epoch_ms(ts: Column | str) -> Column:
+    return F.unix_millis((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
+def monitor_time(line: Column | str) -> Column:
+    """The time that a board monitor's line begins with (month-day-year hour:minute:second); null without one."""
+    found = F.regexp_extract(line, r"^(\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2})", 1)
+    return F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("MM-dd-yyyy HH:mm:ss"))
+
+
+def truthy(flag: Column | str) -> Column:
+    """Whether a setting says 1, true, yes or on, in any case; null says no."""
+    return F.coalesce(F.lower(F.trim(flag)).isin("1", "true", "yes", "on"), F.lit(False))
+
+
+JOB_JSON, JOB_NUMBERS = ("payload", "result", "error"), ("created_ts", "updated_ts", "ttl_s")
+
+
+def job_from_hash(columns: dict[str, Column]) -> list[Column]:
+    """The fields of a job from the strings of its hash: an empty payload is {}, an empty result or error null, JSON that can't be read {"_raw": ...}; numbers that can't be read are null."""
+    out = []
+    for name, c in columns.items():
+        if name in JOB_JSON:
+            empty = F.lit("{}") if name == "payload" else F.lit(None).cast("string")
+            raw = F.to_json(F.struct(c.alias("_raw")))
+            out.append(F.when(c.isNull() | (c == ""), empty).when(F.try_parse_json(c).isNull(), raw).otherwise(c).alias(name))
+        else:
+            out.append((c.try_cast("long") if name in JOB_NUMBERS else c).alias(name))
+    return out
+
+
+def job_to_hash(columns: dict[str, Column]) -> list[Column]:
+    """The strings of a job's hash: null is an empty string, and null JSON is null."""
+    return [F.coalesce(c.cast("string"), F.lit("null" if name in JOB_JSON else "")).alias(name) for name, c in columns.items()]

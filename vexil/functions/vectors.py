@@ -66,9 +66,15 @@ def int8_scale(v: Column | str) -> Column:
     return F.when(m == 0, F.lit(1.0)).otherwise(m / 127)
 
 
-def quantise_int8(v: Column | str) -> Column:
-    """Codes in -127 .. 127, halves to even."""
-    s = int8_scale(v)
+def tensor_scale(v: Column | str) -> Column:
+    """An aggregate: the step of symmetric int8 codes of all vectors of a table (or group) together; 1 if all are zero."""
+    m = F.max(max_abs(v))
+    return F.when(m == 0, F.lit(1.0)).otherwise(m / 127)
+
+
+def quantise_int8(v: Column | str, scale: Column | str | None = None) -> Column:
+    """Codes in -127 .. 127, halves to even; by the vector's own scale, or a tensor's."""
+    s = int8_scale(v) if scale is None else _c(scale)
     return F.transform(_c(v), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x.cast("double") / s))).cast("tinyint"))
 
 

@@ -39,6 +39,42 @@ def dynamic_batches(rows: DataFrame, group: str, order: list[str], ceiling: int
     return greedy_batches(rows, group, ["char_len", *[c for c in order if c != "char_len"]], ceiling, budget)
 
 
+SHORT_LADDER = tuple(64 << i for i in range(5))
+FULL_LADDER = tuple(64 << i for i in range(9))
+
+
+def probe_candidates(given: tuple[int, ...] | None = None, most: int | None = None, banded: bool = False, ladder: str = "full") -> tuple[int, ...]:
+    """The batch sizes to try, rising: those given that are positive, or a ladder of powers up to most (without it 4096, or 16384 for banded lengths)."""
+    if most is not None and most < 1:
+        raise ValueError("most must be 1 at least")
+    if given is not None:
+        return tuple(c for c in sorted({c for c in given if c > 0}) if most is None or c <= most)
+    if ladder not in ("full", "short"):
+        raise ValueError(f"no such ladder: {ladder}")
+    top = most if most is not None else 16384 if banded else 4096
+    return tuple(c for c in (FULL_LADDER if ladder == "full" else SHORT_LADDER) if c <= top)
+
+
+def largest_safe(candidates: tuple[int, ...], works, available: int) -> tuple[int | None, list[int]]:
+    """The largest candidate up to available for which works(candidate) holds, by bisection, and those tried; None if none does."""
+    fit, tried, best = [c for c in candidates if c <= available], [], None
+    low, high = 0, len(fit) - 1
+    while low <= high:
+        mid = (low + high) // 2
+        tried.append(fit[mid])
+        if works(fit[mid]):
+            best, low = fit[mid], mid + 1
+        else:
+            high = mid - 1
+    return best, tried
+
+
+def largest_safe_of(attempts: DataFrame, group: str) -> DataFrame:
+    """(group, batch): the largest size of attempts(group, batch, ok) below the first that failed; null if the smallest did."""
+    failed = attempts.groupBy(group).agg(F.min(F.when(~F.col("ok"), F.col("batch"))).alias("__f"))
+    return attempts.join(failed, group).groupBy(group).agg(F.max(F.when(F.col("ok") & (F.col("__f").isNull() | (F.col("batch") < F.col("__f"))), F.col("batch"))).alias("batch"))
+
+
 def batch_sizes(batched: DataFrame, group: str) -> DataFrame:
     return batched.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), F.max("char_len").alias("longest"))
 

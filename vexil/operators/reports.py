@@ -16,8 +16,13 @@ def at_rounded_place(values: Column, p: float) -> Column:
 
 def run_statistics(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, median, p95, variance_ratio): variance_ratio is the population deviation over the median, 0 for a median of 0."""
-    found = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.sort_array(F.collect_list(value)).alias("__v"), F.stddev_pop(value).alias("__s"))
-    return found.select(group, "n", "median", at_rounded_place(F.col("__v"), 0.95).alias("p95"), F.when(F.col("median") != 0, F.col("__s") / F.col("median")).otherwise(0.0).alias("variance_ratio"))
+    # values and how often they occur, so that a group holds each distinct value once; the value at a place is the first whose running count passes it
+    good = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(group).orderBy("__x"))
+    placed = good.withColumn("__u", upto).withColumn("n", F.sum("__c").over(Window.partitionBy(group)))
+    found = placed.groupBy(group).agg(F.max("n").alias("n"), F.expr("percentile(__x, 0.5, __c)").alias("median"), F.min(F.when(F.col("__u") > F.bround((F.col("n") - 1) * F.lit(0.95)), F.col("__x"))).alias("p95"), (F.sum("__c") * 1.0).alias("__w"), F.sum(F.col("__x") * F.col("__c")).alias("__t"))
+    spread = placed.join(found.select(group, (F.col("__t") / F.col("__w")).alias("__m")), group).groupBy(group).agg(F.sqrt(F.sum(F.col("__c") * (F.col("__x") - F.col("__m")) ** 2) / F.sum("__c")).alias("__s"))
+    return found.join(spread, group).select(group, "n", "median", "p95", F.when(F.col("median") != 0, F.col("__s") / F.col("median")).otherwise(0.0).alias("variance_ratio"))
 
 
 def regressions(current: DataFrame, baseline: DataFrame, group: str, median: float = 0.10, p95: float = 0.15, ratio: float = 0.35) -> DataFrame:
@@ -55,6 +60,29 @@ def throughput(rows: DataFrame) -> DataFrame:
     return rows.groupBy("batch").agg((F.sum("n") / F.sum("seconds")).alias("sentences_per_s"), F.avg("seconds").alias("mean_latency_s"), F.max("mb").alias("peak_mb"))
 
 
+def pipeline_counters(files: DataFrame, sentences: DataFrame, batches: DataFrame) -> DataFrame:
+    """One row of a text ingest: files(path, text) discovered, read and skipped (text is null), sentences, batches and records, of sentences(path) and batches(n)."""
+    f = files.agg(F.count(F.lit(1)).alias("discovered"), F.count("text").alias("read"), F.count_if(F.col("text").isNull()).alias("skipped"))
+    s = sentences.agg(F.count(F.lit(1)).alias("sentences"))
+    b = batches.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"))
+    return f.join(s).join(b)  # a row each
+
+
+def rows_by_key(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n)."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_keys(rows: DataFrame, key: str) -> DataFrame:
+    return rows.agg(F.countDistinct(key).alias("n"))
+
+
+def last_samples(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The n latest rows of each group."""
+    w = Window.partitionBy(group).orderBy(F.desc(order))
+    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
 def recommended(speeds: DataFrame, within: float = 0.05) -> DataFrame:
     """(batch): the smallest whose throughput is within a share of the best."""
     best = F.max("sentences_per_s").over(Window.partitionBy())

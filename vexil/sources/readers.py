@@ -64,6 +64,8 @@ def binary_feed(spark: SparkSession, path: str, dim: int) -> DataFrame:
         if version != 1 or size != dtype.itemsize or len(data) - 18 != size * count:
             raise ValueError(f"{p}: version {version}, record size {size}, count {count} don't fit {len(data)} bytes of dimension {dim}")
         r = np.frombuffer(data[18:], dtype)
+        if len(r) and r["id"].max() > np.iinfo(np.int64).max:
+            raise ValueError(f"{p}: an id beyond 2**63 - 1")
         for s in range(0, len(r), 4096):
             part = r[s : s + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64)), _lists(part["v"], pa.float32())], ["id", "vector"])
@@ -88,7 +90,10 @@ def sentence_embeddings(spark: SparkSession, path: str, dim: int = 2048) -> Data
 
 
 def parallel_files(spark: SparkSession, ids: str, vectors: str, metadata: str, dim: int) -> DataFrame:
-    """(id, vector, metadata) of three files read side by side; different numbers of rows fail."""
+    """(id, vector, metadata) of three files read side by side; different numbers of rows fail, and so does a path that is no single file, since places count within a file."""
+    for path in (ids, vectors, metadata):
+        if spark.read.format("binaryFile").load(path).select("path").limit(2).count() != 1:
+            raise ValueError(f"{path} is no single file")
     u = _decode(spark, ids, lambda p, d: [pa.RecordBatch.from_arrays([pa.array(np.arange(len(d) // 8)), pa.array(_records(d, np.dtype("<u8"), p).astype(np.int64))], ["pos", "id"])], "pos long, id long")
 
     def floats(p, d):
@@ -114,7 +119,7 @@ def discover_text(spark: SparkSession, directory: str, extensions: Sequence[str]
     files = files.where(wanted)
     if skip_hidden:
         files = files.where(~F.col("path").rlike(r"/\.[^/]+"))
-    return files.select("path", "length", "content").orderBy("path")
+    return files.select("path", "length", "content")
 
 
 def read_text(files: DataFrame) -> DataFrame:
@@ -148,6 +153,26 @@ def vector_argument(text: str, dim: int) -> list[float]:
     return out
 
 
+def uniform(spark: SparkSession, rows: int, dim: int, seed: int = 1337) -> DataFrame:
+    """(id, vector): ids from 1, values in [0, 1) drawn from hashes, the same for any partitioning."""
+    value = lambda i: (F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(1 << 24)).cast("double") / float(1 << 24)).cast("float")
+    return spark.range(1, rows + 1).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("vector"))
+
+
+def sentence_embedding_count(spark: SparkSession, path: str, dim: int = 2048) -> DataFrame:
+    """(path, records) of fixed-width files, by their lengths; a length that is no whole number of records fails."""
+    width = 10 + 2 * dim
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    broken = F.raise_error(F.concat("path", F.lit(": no whole number of records"))).cast("long")
+    return files.select("path", F.when(F.col("length") % width == 0, (F.col("length") / width).cast("long")).otherwise(broken).alias("records"))
+
+
+def discovery_counts(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """(discovered, read, undecodable) of discover_text and read_text."""
+    found = files.agg(F.count(F.lit(1)).alias("discovered"))
+    return found.join(texts.agg(F.count("text").alias("read"), F.count_if(F.col("text").isNull()).alias("undecodable")))
+
+
 def synthetic(spark: SparkSession, rows: int, dim: int, clusters: int = 32, noise: float = 0.04, outliers: float = 0.0, seed: int = 1337) -> DataFrame:
     """(id, vector, cluster): unit vectors around random centres, and a share of outliers far from all. The same for any partitioning: all is drawn from hashes."""
     unit = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
