@@ -72,7 +72,11 @@ def live_spans(spark, sf_dir):
     return store.live_spans(rows, ["segment"])
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT user_id AS segment_id, floor(value)::BIGINT AS row, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS reason, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT segment_id, i, 1 AS part, row AS a, row AS b, reason FROM m WHERE i = 1
+UNION ALL SELECT m.segment_id, m.i, CASE WHEN m.reason = r.reason AND m.row BETWEEN r.a AND r.b + 1 THEN r.part ELSE r.part + 1 END, CASE WHEN m.reason = r.reason AND m.row BETWEEN r.a AND r.b + 1 THEN r.a ELSE m.row END,
+  CASE WHEN m.reason = r.reason AND m.row BETWEEN r.a AND r.b + 1 THEN greatest(r.b, m.row) ELSE m.row END, m.reason FROM r JOIN m ON m.segment_id = r.segment_id AND m.i = r.i + 1)
+SELECT segment_id, min(a) AS start_row, max(b) AS end_row, min(reason) AS reason FROM r GROUP BY segment_id, part""")
 def dirty_ranges(spark, sf_dir):
     marks = table(spark, sf_dir, "events").select(F.col("user_id").alias("segment_id"), F.col("event_id").alias("seq"), F.floor(F.col("value")).alias("row"), F.when(F.col("event_type") == "error", "delete").otherwise("insert").alias("reason"))
     return store.dirty_ranges(marks)
@@ -289,7 +293,9 @@ def greedy_batches(spark, sf_dir):
     return batching.greedy_batches(_pieces(spark, sf_dir), "doc_id", ["i"], 16, 2048)
 
 
-@query()
+@query(S_SQL.replace("WITH p", "WITH RECURSIVE p") + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len, i) AS j FROM s), r AS (SELECT doc_id, i, j, len, 0 AS batch, 1 AS n FROM o WHERE j = 1
+UNION ALL SELECT o.doc_id, o.i, o.j, o.len, CASE WHEN r.n = 16 OR o.len::BIGINT * (r.n + 1) > 2048 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n = 16 OR o.len::BIGINT * (r.n + 1) > 2048 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.doc_id = r.doc_id AND o.j = r.j + 1)
+SELECT doc_id, i, len AS char_len, batch FROM r""")
 def dynamic_batches(spark, sf_dir):
     return batching.dynamic_batches(_pieces(spark, sf_dir), "doc_id", ["i"], 16, 2048)
 
@@ -316,9 +322,10 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.looks_like_json("props").alias("json"), F.get_json_object("props", "$.k").alias("k"))
 
 
-@query()
+@query("""WITH d AS (SELECT sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') AS d FROM labels), p AS (SELECT substr(d, 1, 3) AS p, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM d GROUP BY 1)
+SELECT sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM p""")
 def table_digest(spark, sf_dir):
-    return writers.digest(table(spark, sf_dir, "embeddings"))
+    return writers.digest(table(spark, sf_dir, "labels"))
 
 
 @query("SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT event_id, floor(value * 100)::BIGINT AS s FROM events)")

@@ -8,7 +8,7 @@ from vexil.functions import vectors as V
 from vexil.operators import checks, hierarchy, reports, store
 from vexil.plans.event_queries import KIND, _log
 from vexil.plans.registry import query, table
-from vexil.plans.search_queries import L_SQL, _layers, _members, embeddings
+from vexil.plans.search_queries import L_SQL, TRACE_SQL, _layers, _members, embeddings, trace_of_labels
 from vexil.streaming import jobs
 
 
@@ -49,12 +49,11 @@ def telemetry_lines(spark, sf_dir):
     return reports.telemetry_json(_events(spark, sf_dir).select("event_id", "user_id", "event_type"))
 
 
-@query("""WITH t AS (SELECT DISTINCT label::BIGINT + 2 AS k, round(1000.0::DOUBLE / (label + 2), 6) AS objective FROM embeddings), b AS (SELECT 1::BIGINT AS k_min, 9::BIGINT AS k_max, 5::BIGINT AS chosen_k UNION ALL SELECT 1, 99, 50)
-SELECT k_min, k_max, chosen_k, coalesce(t.objective, (SELECT min(objective) FROM t)) AS objective FROM b LEFT JOIN t ON k = chosen_k""")
+@query(TRACE_SQL + """, b AS (SELECT 1::BIGINT AS k_min, 9::BIGINT AS k_max, 5::BIGINT AS chosen_k UNION ALL SELECT 1, 99, 50)
+SELECT k_min, k_max, chosen_k, round(coalesce(t.objective, (SELECT min(objective) FROM t)), 5) AS objective FROM b LEFT JOIN t ON k = chosen_k""")
 def cluster_stats(spark, sf_dir):
-    trace = embeddings(spark, sf_dir).select((F.col("label") + 2).alias("k")).distinct().withColumn("objective", F.round(1000.0 / F.col("k"), 6))
     rows = spark.createDataFrame([(1, 9, 5), (1, 99, 50)], "k_min long, k_max long, chosen_k long")
-    return hierarchy.cluster_stats(rows, trace)
+    return hierarchy.cluster_stats(rows, trace_of_labels(spark, sf_dir)).withColumn("objective", F.round("objective", 5))
 
 
 @query("""WITH i AS (SELECT DISTINCT user_id AS id FROM events), m AS (SELECT user_id AS id, arg_max(props, event_id) AS metadata FROM events WHERE event_type = 'view' GROUP BY user_id)
@@ -100,15 +99,8 @@ def normalised_vectors(spark, sf_dir):
     return embeddings(spark, sf_dir).select("id", F.transform(V.normalise("vector"), lambda x: F.round(x, 5)).alias("unit"))
 
 
-@query("SELECT vec_id AS id, array_to_string(list_transform(embedding[1:3], lambda x: (x * 1000)::BIGINT), ',') AS csv, list_transform(embedding[1:3], lambda x: (x * 1000)::BIGINT::FLOAT) AS vector FROM embeddings")
-def csv_vectors(spark, sf_dir):
-    c = embeddings(spark, sf_dir).select("id", V.to_csv(F.transform(F.slice("vector", 1, 3), lambda x: F.rint(x * F.lit(1000).cast("float")).cast("long"))).alias("csv"))
-    return c.withColumn("vector", V.parse_csv("csv"))
-
-
 @query("SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: (x * 1000)::BIGINT), ',') AS csv, list_transform(embedding, lambda x: (x * 1000)::BIGINT::FLOAT) AS vector FROM embeddings")
-def csv_whole_vectors(spark, sf_dir):
-    """All elements; csv_vectors has those of its SQL."""
+def csv_vectors(spark, sf_dir):
     c = embeddings(spark, sf_dir).select("id", V.to_csv(F.transform("vector", lambda x: F.rint(x * F.lit(1000).cast("float")).cast("long"))).alias("csv"))
     return c.withColumn("vector", V.parse_csv("csv"))
 
@@ -134,8 +126,7 @@ def echo_results(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_counts(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    return jobs.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT id FROM (SELECT user_id AS id, arg_max(event_type, event_id) AS t FROM events WHERE event_type <> 'view' GROUP BY user_id) WHERE t <> 'error')")
@@ -145,4 +136,4 @@ def deletes_of_missing(spark, sf_dir):
 
 @query(f"SELECT status, count(*) AS n FROM (SELECT {KIND} AS status FROM events) GROUP BY status")
 def events_by_type(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy(F.expr(KIND).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return reports.rows_by_key(_events(spark, sf_dir).select(F.expr(KIND).alias("status")), "status")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexil.functions import vectors as V
-from vexil.operators import agreement, checks, hierarchy, kmeans, search
+from vexil.operators import agreement, checks, hierarchy, kmeans, reports, search
 from vexil.plans.registry import query, table
 from vexil.storage import materialise
 
@@ -49,12 +49,13 @@ def search_cosine(spark, sf_dir):
     return search.search_exact(rows, _first_vector(rows), metric="cosine", id_column="id").withColumn("score", F.round("score", 6))
 
 
-@query(f"""{E_SQL}, q AS (SELECT id AS query_id, v AS q FROM e WHERE id % 10 = 0), s AS (SELECT query_id, id, list_dot_product(v, q) AS score FROM e, q),
+@query(f"""{E_SQL}, q AS (SELECT id AS query_id, v AS q FROM e WHERE id % 100 = 0), s AS (SELECT query_id, id, list_dot_product(v, q) AS score FROM e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def search_many(spark, sf_dir):
+    """The queries are the vectors whose id is divisible by 100, against all."""
     rows = embeddings(spark, sf_dir)
-    queries = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return search.search_many(rows, queries, id_column="id").withColumn("score", F.round("score", 6))
 
 
@@ -62,7 +63,7 @@ def search_many(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def search_every(spark, sf_dir):
-    """Every vector is a query; search_many has those of its SQL."""
+    """Every vector is a query."""
     rows = embeddings(spark, sf_dir)
     queries = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return search.search_many(rows, queries, id_column="id").withColumn("score", F.round("score", 6))
@@ -279,14 +280,6 @@ def co_membership(spark, sf_dir):
     return agreement.co_membership(embeddings(spark, sf_dir).select(F.col("label").alias("a"), (F.col("id") % 7).alias("b"))).select(F.round("agreement", 9).alias("agreement"))
 
 
-@query("WITH r AS (SELECT label, 0.8 + 0.02 * label AS nmi, 0.9 + 0.005 * label AS jaccard, 0.001 * label AS drift FROM (SELECT DISTINCT label FROM embeddings)) SELECT round(avg(nmi), 9) AS mean_nmi, round(stddev_pop(nmi), 9) AS std_nmi, round(avg(jaccard), 9) AS mean_jaccard, round(avg(drift), 9) AS mean_drift, avg(nmi) >= 0.9 AND stddev_pop(nmi) <= 0.03 AND avg(jaccard) >= 0.85 AND avg(drift) <= 0.02 AS passed FROM r")
-def stability(spark, sf_dir):
-    label = F.col("label")
-    runs = embeddings(spark, sf_dir).select("label").distinct().select((0.8 + 0.02 * label).alias("nmi"), (0.9 + 0.005 * label).alias("jaccard"), (0.001 * label).alias("drift"))
-    s = agreement.stability(runs)
-    return s.select(*[F.round(c, 9).alias(c) for c in s.columns[:-1]], "passed")
-
-
 D_SQL = E_SQL + """, u AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM e ORDER BY id LIMIT 4096),
 d AS (SELECT a.id, greatest(1e-9, 1 - greatest(-1, least(1, list_dot_product(a.v, b.v)))) AS d FROM u a JOIN u b ON a.id <> b.id),
 r AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r FROM d),
@@ -319,51 +312,49 @@ def k_range(spark, sf_dir):
 
 
 
-def _trace(spark, sf_dir):
-    return embeddings(spark, sf_dir).select((F.col("label") + 2).alias("k")).distinct().withColumn("objective", F.round(1000.0 / F.col("k"), 6))
+#: The objective with the means of labels below k as centroids, for each k: a trace that SQL can have too.
+TRACE_SQL = C_SQL + """, ks AS (SELECT cid + 1 AS k FROM c WHERE cid > 0), d AS (SELECT k, e.id, min(list_distance(v, c) ** 2) AS d FROM ks JOIN c ON cid < k, e GROUP BY k, e.id), t AS (SELECT k, sum(d) AS objective FROM d GROUP BY k)"""
 
 
-@query("WITH t AS (SELECT DISTINCT label::BIGINT + 2 AS k, round(1000.0::DOUBLE / (label + 2), 6) AS objective FROM embeddings), l AS (SELECT *, lead(k) OVER (ORDER BY k) AS k2, lead(objective) OVER (ORDER BY k) AS j2 FROM t) SELECT k, round(CASE WHEN objective <= 0 OR k2 IS DISTINCT FROM k + 1 THEN 0 ELSE (objective - j2) / objective END, 9) AS gain FROM l")
-def elbow_gains(spark, sf_dir):
-    from vexil.operators import reports
+def trace_of_labels(spark, sf_dir) -> DataFrame:
+    """(k, objective), all ks in one pass."""
+    rows = embeddings(spark, sf_dir)
+    c = _matrix_of(centroids(rows))
+    sums = kmeans.cluster_sums(rows, *[c[:k] for k in range(2, len(c) + 1)])
+    return sums.groupBy((F.col("model") + 2).cast("long").alias("k")).agg(F.sum("objective").alias("objective"))
 
-    return reports.gains(_trace(spark, sf_dir)).withColumn("gain", F.round("gain", 9))
 
+@query(TRACE_SQL + ", l AS (SELECT *, lead(k) OVER (ORDER BY k) AS k2, lead(objective) OVER (ORDER BY k) AS j2 FROM t) SELECT k, round(CASE WHEN objective <= 0 OR k2 IS DISTINCT FROM k + 1 THEN 0 ELSE (objective - j2) / objective END, 9) AS gain FROM l")
+def elbow_gains(spark, sf_dir):
+    return reports.gains(trace_of_labels(spark, sf_dir)).withColumn("gain", F.round("gain", 9))
 
-@query("WITH t AS (SELECT DISTINCT label::BIGINT + 2 AS k, round(1000.0::DOUBLE / (label + 2), 6) AS objective FROM embeddings) SELECT k, round(coalesce(lag(objective) OVER w - 2 * objective + lead(objective) OVER w, '-infinity'::DOUBLE), 9) AS bend FROM t WINDOW w AS (ORDER BY k)")
-def elbow_bends(spark, sf_dir):
-    from vexil.operators import reports
 
-    return reports.bends(_trace(spark, sf_dir)).withColumn("bend", F.when(F.col("bend") > float("-inf"), F.round("bend", 9)).otherwise(F.col("bend")))
+@query(TRACE_SQL + " SELECT k, round(coalesce(lag(objective) OVER w - 2 * objective + lead(objective) OVER w, '-infinity'::DOUBLE), 5) AS bend FROM t WINDOW w AS (ORDER BY k)")
+def elbow_bends(spark, sf_dir):
+    return reports.bends(trace_of_labels(spark, sf_dir)).withColumn("bend", F.when(F.col("bend") > float("-inf"), F.round("bend", 5)).otherwise(F.col("bend")))
 
 
 def _objectives(spark, sf_dir):
-    """The objective of a k-means of all rows for each k of _trace."""
+    """The objective of a k-means of all rows for each k from 2 to 12."""
     placed = materialise(kmeans.with_position(embeddings(spark, sf_dir).select("id", "vector"), "id"), "placed")
-    n = placed.count()
-    ks = sorted(r.k for r in _trace(spark, sf_dir).collect())
-    return spark.createDataFrame([(k, kmeans.kmeans(placed, n, k, kmeans.PROBE_ITERATIONS)[1]) for k in ks], "k long, objective double")
+    ks = list(range(2, 13))
+    found = kmeans.kmeans_each(placed, placed.count(), ks, kmeans.PROBE_ITERATIONS)
+    return spark.createDataFrame([(k, j) for k, (_, j) in zip(ks, found)], "k long, objective double")
 
 
 @query()
 def kmeans_elbow_gains(spark, sf_dir):
-    """The gains of real clusterings; elbow_gains has the formula of its SQL."""
-    from vexil.operators import reports
-
     return reports.gains(_objectives(spark, sf_dir))
 
 
 @query()
 def kmeans_elbow_bends(spark, sf_dir):
-    """The bends of real clusterings; elbow_bends has the formula of its SQL."""
-    from vexil.operators import reports
-
     return reports.bends(_objectives(spark, sf_dir))
 
 
 @query()
 def kmeans_stability(spark, sf_dir):
-    """Several seeds, as many clusters as labels; stability has the made-up runs of its SQL."""
+    """Several seeds, as many clusters as labels."""
     rows = embeddings(spark, sf_dir)
     return agreement.evaluate_stability(rows, rows.select("label").distinct().count())
 
