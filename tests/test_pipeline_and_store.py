@@ -27,7 +27,7 @@ def test_sql_gives_the_same_layers_from_the_assignments(clusters):
     out, _ = clusters
     con = duckdb.connect()
     tops, mids = out.top.toPandas(), out.mids.toPandas()  # noqa: F841, DuckDB reads them
-    con.execute("CREATE TABLE gates AS SELECT top_id, mid_id, count(*) AS n, CASE WHEN count(*) <= 3 THEN 'stop' ELSE 'continue' END AS gate, row_number() OVER (ORDER BY top_id, mid_id) - 1 AS lower_id FROM mids GROUP BY ALL")
+    con.execute("CREATE TABLE gates AS SELECT top_id, mid_id, count(*) AS n, CASE WHEN count(*) <= 3 THEN 'stop' ELSE 'continue' END AS gate, row_number() OVER (ORDER BY top_id, mid_id) - 1 AS lower_id FROM mids GROUP BY top_id, mid_id")
     con.execute("CREATE TABLE finals AS SELECT row_number() OVER (ORDER BY top_id, mid_id) - 1 AS final_id, top_id, mid_id, n FROM gates WHERE gate = 'stop'")
     same = lambda df, sql: sorted(map(tuple, df.collect())) == sorted(con.execute(sql).fetchall())
     assert same(out.gates.select("top_id", "mid_id", "n", "gate", "lower_id"), "SELECT * FROM gates")
