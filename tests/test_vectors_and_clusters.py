@@ -237,3 +237,12 @@ def test_int8_round_trip(spark):
     rows = frame(spark, np.random.default_rng(0).normal(size=(20, 8)))
     back = rows.select("vector", V.dequantise_int8(V.quantise_int8("vector"), V.int8_scale("vector")).alias("b"))
     assert all(max(abs(x - y) for x, y in zip(r.vector, r.b)) <= max(map(abs, r.vector)) / 254 + 1e-6 for r in back.collect())
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [-1e-7, -0.0, 0.0, 2.5e-5, -2.5e-5, 1.5e-5, 0.000035, 0.123455, -0.123455, 1.000005, 0.5, 123456.789, 1e305, -1e305, float("inf"), float("nan"), None]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(V.rounded("v", 5).alias("x")).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 5)", [v]).fetchone()[0] for v in values]
+    assert list(map(repr, got)) == list(map(repr, want))

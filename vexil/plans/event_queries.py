@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vexil.functions import text as T
+from vexil.functions import vectors as V
 from vexil.operators import batching, checks, reports, store
 from vexil.plans.registry import query, table
 from vexil.sources import writers
@@ -25,7 +26,7 @@ def _log(spark, sf_dir):
 
 @query(LOG_SQL + " SELECT id, round(value, 4) AS value, metadata, deleted FROM state")
 def log_replay(spark, sf_dir):
-    return store.replay(_log(spark, sf_dir)).select("id", F.round(F.col("vector")[0].cast("double"), 4).alias("value"), "metadata", "deleted")
+    return store.replay(_log(spark, sf_dir)).select("id", V.rounded(F.col("vector")[0].cast("double"), 4).alias("value"), "metadata", "deleted")
 
 
 @query(LOG_SQL + " SELECT id, metadata FROM state WHERE NOT deleted")
@@ -152,25 +153,25 @@ def dead_letters(spark, sf_dir):
 @query("SELECT event_type, count(value) AS n, round(median(value), 6) AS median, round(list_sort(list(value))[round_even((count(value) - 1) * 0.95, 0)::BIGINT + 1], 6) AS p95, round(stddev_pop(value) / median(value), 6) AS variance_ratio FROM events GROUP BY event_type")
 def run_statistics(spark, sf_dir):
     r = reports.run_statistics(table(spark, sf_dir, "events"), "event_type", "value")
-    return r.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("median", "p95", "variance_ratio")])
+    return r.select("event_type", "n", *[V.rounded(c, 6).alias(c) for c in ("median", "p95", "variance_ratio")])
 
 
 @query("WITH m AS (SELECT event_type, median(value) FILTER (WHERE user_id % 2 = 0) AS a, median(value) FILTER (WHERE user_id % 2 = 1) AS b FROM events GROUP BY event_type) SELECT event_type, round(a, 6) AS a, round(b, 6) AS b, round(100 * (a - b) / a, 6) AS percent FROM m")
 def ab_improvement(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("side", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"))
     r = reports.improvement(e, "event_type", "side", "value")
-    return r.select("event_type", *[F.round(c, 6).alias(c) for c in ("a", "b", "percent")])
+    return r.select("event_type", *[V.rounded(c, 6).alias(c) for c in ("a", "b", "percent")])
 
 
 @query("WITH l AS (SELECT user_id, list_sort(list(value)) AS v, avg(value) AS m FROM events GROUP BY user_id) SELECT user_id, round(greatest(1, CASE WHEN len(v) < 4 THEN m ELSE v[floor(0.75 * (len(v) - 1))::BIGINT + 1] END), 6) AS estimate FROM l")
 def timing_estimate(spark, sf_dir):
-    return reports.timing_estimate(table(spark, sf_dir, "events"), "user_id", "value", 60).withColumn("estimate", F.round("estimate", 6))
+    return reports.timing_estimate(table(spark, sf_dir, "events"), "user_id", "value", 60).withColumn("estimate", V.rounded("estimate", 6))
 
 
 @query("SELECT event_type, round(sum(value), 3) AS seconds, round(100 * sum(value) / sum(sum(value)) OVER (), 6) AS percent FROM events GROUP BY event_type")
 def latency_report(spark, sf_dir):
     r = reports.latency_report(table(spark, sf_dir, "events"), "event_type", "value")
-    return r.select("event_type", F.round("seconds", 3).alias("seconds"), F.round("percent", 6).alias("percent"))
+    return r.select("event_type", V.rounded("seconds", 3).alias("seconds"), V.rounded("percent", 6).alias("percent"))
 
 
 @query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS elapsed FROM (SELECT event_id, user_id, greatest(value - 5, 0) AS value FROM events)")
@@ -212,7 +213,7 @@ def against_previous(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     side = lambda r: e.where(F.col("event_id") % 2 == r).groupBy(F.col("user_id").alias("stage_id")).agg(F.sum("value").alias("elapsed_ms"))
     r = reports.against_previous(side(1), side(0))
-    return r.select("stage_id", *[F.round(c, 4).alias(c) for c in ("elapsed_ms", "previous_ms", "delta_ms")])
+    return r.select("stage_id", *[V.rounded(c, 4).alias(c) for c in ("elapsed_ms", "previous_ms", "delta_ms")])
 
 
 STAGE = "CASE event_type WHEN 'signup' THEN 'stage_start' WHEN 'purchase' THEN 'stage_end' WHEN 'error' THEN 'stage_fail' ELSE 'other' END"
@@ -309,7 +310,7 @@ def natural_bands(spark, sf_dir):
 @query(f"WITH b AS (SELECT lang, {BAND} AS band, n_chars::DOUBLE AS x FROM documents), g AS (SELECT lang, band, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM b GROUP BY lang, band) SELECT lang, round(1 - (sum(q) - sum(s * s / n)) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) AS fit FROM g GROUP BY lang")
 def variance_fit(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", F.col("n_chars").alias("char_len"), T.band_label("n_chars").alias("band"))
-    return batching.fit_of_bands(docs, "lang", "band").withColumn("fit", F.round("fit", 6))
+    return batching.fit_of_bands(docs, "lang", "band").withColumn("fit", V.rounded("fit", 6))
 
 
 @query("WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents), w AS (SELECT DISTINCT lang, c * n // 20 AS pos FROM p, range(20) t(c)) SELECT doc_id, p.lang FROM p JOIN w ON p.lang = w.lang AND p.pos = w.pos")

@@ -28,20 +28,20 @@ SELECT event_type, round(estimate, 6) AS estimate, round(actual, 6) AS actual, r
 def estimate_errors(spark, sf_dir):
     side = lambda r, n: _events(spark, sf_dir).where(F.col("event_id") % 2 == r).groupBy("event_type").agg(F.avg("value").alias(n))
     r = reports.estimate_errors(side(0, "estimate"), side(1, "actual"), "event_type")
-    return r.select("event_type", *[F.round(c, 6).alias(c) for c in ("estimate", "actual", "delta", "percent")])
+    return r.select("event_type", *[V.rounded(c, 6).alias(c) for c in ("estimate", "actual", "delta", "percent")])
 
 
 @query("SELECT count(*) FILTER (WHERE event_type = 'signup')::BIGINT AS inserted, max(user_id) AS clusters, round(sum(value), 3) AS latency_ms FROM events")
 def run_summary(spark, sf_dir):
     e = _events(spark, sf_dir).select(F.when(F.col("event_type") == "signup", 1).alias("inserted"), F.col("user_id").alias("clusters"), F.col("value").alias("elapsed_ms"))
-    return reports.run_summary(e).withColumn("latency_ms", F.round("latency_ms", 3))
+    return reports.run_summary(e).withColumn("latency_ms", V.rounded("latency_ms", 3))
 
 
 @query("""WITH g AS (SELECT user_id, count(*) AS n, count(*) >= 65 AS eligible, sum(value) AS ms FROM events GROUP BY user_id)
 SELECT count(*) FILTER (WHERE eligible) AS processed, count(*) FILTER (WHERE NOT eligible) AS skipped, coalesce(sum(n) FILTER (WHERE eligible), 0)::BIGINT AS vectors, round(sum(n) FILTER (WHERE eligible) * 1000.0 / sum(ms) FILTER (WHERE eligible), 6) AS vectors_per_s FROM g""")
 def second_level_summary(spark, sf_dir):
     g = _events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("elapsed_ms")).withColumn("eligible", F.col("n") >= 65)
-    return hierarchy.second_level_summary(g).withColumn("vectors_per_s", F.round("vectors_per_s", 6))
+    return hierarchy.second_level_summary(g).withColumn("vectors_per_s", V.rounded("vectors_per_s", 6))
 
 
 @query("""SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS line FROM events""")
@@ -53,7 +53,7 @@ def telemetry_lines(spark, sf_dir):
 SELECT k_min, k_max, chosen_k, round(coalesce(t.objective, (SELECT min(objective) FROM t)), 5) AS objective FROM b LEFT JOIN t ON k = chosen_k""")
 def cluster_stats(spark, sf_dir):
     rows = spark.createDataFrame([(1, 9, 5), (1, 99, 50)], "k_min long, k_max long, chosen_k long")
-    return hierarchy.cluster_stats(rows, trace_of_labels(spark, sf_dir)).withColumn("objective", F.round("objective", 5))
+    return hierarchy.cluster_stats(rows, trace_of_labels(spark, sf_dir)).withColumn("objective", V.rounded("objective", 5))
 
 
 @query("""WITH i AS (SELECT DISTINCT user_id AS id FROM events), m AS (SELECT user_id AS id, arg_max(props, event_id) AS metadata FROM events WHERE event_type = 'view' GROUP BY user_id)
@@ -96,7 +96,7 @@ def bounds_violations(spark, sf_dir):
 
 @query("SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: round(x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12), 5)) AS unit FROM embeddings")
 def normalised_vectors(spark, sf_dir):
-    return embeddings(spark, sf_dir).select("id", F.transform(V.normalise("vector"), lambda x: F.round(x, 5)).alias("unit"))
+    return embeddings(spark, sf_dir).select("id", F.transform(V.normalise("vector"), lambda x: V.rounded(x, 5)).alias("unit"))
 
 
 @query("SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: (x * 1000)::BIGINT), ',') AS csv, list_transform(embedding, lambda x: (x * 1000)::BIGINT::FLOAT) AS vector FROM embeddings")
@@ -126,7 +126,7 @@ def echo_results(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_counts(spark, sf_dir):
-    return jobs.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    return jobs.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("window.start").alias("hour"), "event_type", "n", V.rounded("total", 4).alias("total"))
 
 
 @query("SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT id FROM (SELECT user_id AS id, arg_max(event_type, event_id) AS t FROM events WHERE event_type <> 'view' GROUP BY user_id) WHERE t <> 'error')")
