@@ -246,3 +246,12 @@ def test_rounding_is_that_of_the_sql(spark):
     got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(V.rounded("v", 5).alias("x")).collect()]
     want = [duckdb.execute("SELECT round(?::DOUBLE, 5)", [v]).fetchone()[0] for v in values]
     assert list(map(repr, got)) == list(map(repr, want))
+
+
+def test_equal_neighbours_give_no_dimension(spark):
+    x = np.random.default_rng(12).normal(size=(601, 61))
+    near = x + 0.05 * np.random.default_rng(13).normal(size=x.shape)
+    u = np.concatenate([x, near, near])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u / np.linalg.norm(u, axis=1)[:, None])], "id long, vector array<double>")
+    got = {r.id for r in agreement.local_dimensions(rows).collect()}
+    assert not got & set(range(601)) and got >= set(range(601, 1803))
