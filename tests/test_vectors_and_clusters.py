@@ -255,3 +255,25 @@ def test_equal_neighbours_give_no_dimension(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u / np.linalg.norm(u, axis=1)[:, None])], "id long, vector array<double>")
     got = {r.id for r in agreement.local_dimensions(rows).collect()}
     assert not got & set(range(601)) and got >= set(range(601, 1803))
+
+
+def test_long_vectors_are_normalised_in_one_go(spark):
+    import time
+
+    x = np.random.default_rng(14).normal(size=(300, 4000)).astype(np.float32)
+    rows = frame(spark, x)
+    rows.select(F.sum(F.size("vector"))).collect()
+    began = time.perf_counter()
+    got = np.array([r.v for r in rows.select(V.normalise("vector").alias("v")).collect()])
+    assert time.perf_counter() - began < 15  # the square of the length in steps takes minutes
+    assert np.allclose(got, x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None], atol=1e-12)
+
+
+def test_several_spherical_clusterings_share_their_passes(spark, monkeypatch):
+    rows = frame(spark, np.random.default_rng(15).normal(size=(90, 5)))
+    wanted, passes, real = [(3, 7), (6, 8)], [], kmeans.cluster_sums
+    apart = [kmeans.spherical_kmeans(rows, 90, k, 4, seed) for k, seed in wanted]
+    monkeypatch.setattr(kmeans, "cluster_sums", lambda *a, **b: passes.append(len(a) - 1) or real(*a, **b))
+    for (c, j), (d, i) in zip(kmeans.spherical_each(rows, 90, wanted, 4), apart):
+        assert np.allclose(c, d, atol=1e-9) and abs(i - j) < 1e-9
+    assert len(passes) <= 5
