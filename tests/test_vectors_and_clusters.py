@@ -277,3 +277,19 @@ def test_several_spherical_clusterings_share_their_passes(spark, monkeypatch):
     for (c, j), (d, i) in zip(kmeans.spherical_each(rows, 90, wanted, 4), apart):
         assert np.allclose(c, d, atol=1e-9) and abs(i - j) < 1e-9
     assert len(passes) <= 5
+
+
+@pytest.mark.parametrize("metric", ["dot", "cosine"])
+def test_scores_of_a_search_stay_below_their_bound(metric):
+    import tracemalloc
+
+    rng = np.random.default_rng(16)
+    q, x = rng.normal(size=(2000, 8)), rng.normal(size=(4000, 8))
+    x[500:520] = x[3]
+    tracemalloc.start()
+    i, j, s = search._best_of(q, x, 5, metric, 1_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == 10_000 and peak < 1_000_000 * 8 * 1.6  # scores, copies and masks, and what is found
+    want = q[7] @ x.T / (np.linalg.norm(q[7]) * np.linalg.norm(x, axis=1) if metric == "cosine" else 1)
+    assert j[i == 7].tolist() == sorted(range(4000), key=lambda t: (-round(want[t], 9), t))[:5]

@@ -65,16 +65,12 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, metric:
                     pick = np.flatnonzero(sizes == n)
                     if not len(pick):
                         continue
+                    pick = pick[np.argsort(own[pick], kind="stable")]
                     x = flat[(starts[pick][:, None] + np.arange(n)).ravel()].reshape(-1, n)
-                    s = x @ matrix.T
-                    if metric == "cosine":
-                        lengths = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None]
-                        s = np.where(lengths > 0, s / np.where(lengths > 0, lengths, 1), 0)
-                    s = np.where(np.isfinite(s), s, -np.inf)
-                    for j, name in enumerate(names):
-                        order = np.lexsort((own[pick], -s[:, j]))[:k]
-                        old = best.get(name, [])
-                        best[name] = sorted([*old, *zip((-s[order, j]).tolist(), own[pick][order].tolist())])[:k]
+                    i, j, score = _best_of(matrix, x, k, metric, BLOCK_SCORES)
+                    for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else []:
+                        name = names[int(i[at[0]])]
+                        best[name] = sorted([*best.get(name, []), *zip((-score[at]).tolist(), own[pick[j[at].astype(int)]].tolist())])[:k]
             out = [(name, i, -d) for name, found in best.items() for d, i in found]
             if out:
                 a, b, c = zip(*out)
@@ -86,6 +82,36 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, metric:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _best_of(q: np.ndarray, x: np.ndarray, k: int, metric: str, most: int) -> np.ndarray:
+    """Places of queries, places of rows and scores of the k best rows x of each query q, which settle ties by their place. Few queries are taken at a time, so that their scores, the copies of them and the masks are most values together."""
+    found, (ql, xl) = [np.zeros((3, 0))], (np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+    for start in range(0, len(q) if x.size else 0, step := max(1, most // (4 * max(1, len(x))))):
+        s = q[start : start + step] @ x.T
+        if metric == "cosine":
+            lengths = ql[start : start + step, None] * xl[None]
+            s = np.where(lengths > 0, s / np.where(lengths > 0, lengths, 1), 0)
+        s[~np.isfinite(s)] = -np.inf
+        least = np.partition(s, len(x) - min(k, len(x)), axis=1)[:, len(x) - min(k, len(x))]
+        # products of equal rows may differ by rounding: all near the k-th are scored again, each in the same way
+        with np.errstate(invalid="ignore"):
+            close = s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]
+        close |= np.isneginf(least)[:, None]
+        i, j = np.nonzero(close)
+        for at in range(0, len(i), 10_000):
+            own, other = i[at : at + 10_000] + start, j[at : at + 10_000]
+            exact = (q[own] * x[other]).sum(axis=1)
+            if metric == "cosine":
+                lengths = ql[own] * xl[other]
+                exact = np.where(lengths > 0, exact / np.where(lengths > 0, lengths, 1), 0)
+            s[own - start, other] = np.where(np.isfinite(exact), exact, -np.inf)
+        order = np.lexsort((j, -s[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        found.append(np.array([i + start, j, s[i, j]]))
+    return np.concatenate(found, axis=1)
+
+
 def _by_blocks(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, metric: str, id_column: str, vector_column: str) -> DataFrame:
     """(query_id, id, score): the k best of each block of rows for each query. Rows and queries of a dimension are cut into blocks by hash; each pair of blocks is a group."""
     usable = vectors.where(F.col(vector_column).isNotNull())
@@ -104,31 +130,7 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, m
         if one.num_rows and two.num_rows:
             two = two.sort_by("b")  # places follow the ids, so that they settle ties
             q, x = matrix(one.column("x")), matrix(two.column("y"))
-            ql, xl = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
-            for start in range(0, len(q) if q.shape[1] else 0, step := max(1, BLOCK_SCORES // len(x))):
-                s = q[start : start + step] @ x.T
-                if metric == "cosine":
-                    lengths = ql[start : start + step, None] * xl[None]
-                    s = np.where(lengths > 0, s / np.where(lengths > 0, lengths, 1), 0)
-                s[~np.isfinite(s)] = -np.inf
-                least = np.partition(s, len(x) - min(k, len(x)), axis=1)[:, len(x) - min(k, len(x))]
-                # products of equal rows may differ by rounding: all near the k-th are scored again, each in the same way
-                with np.errstate(invalid="ignore"):
-                    close = s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]
-                close |= np.isneginf(least)[:, None]
-                i, j = np.nonzero(close)
-                for at in range(0, len(i), 100_000):
-                    own, other = i[at : at + 100_000] + start, j[at : at + 100_000]
-                    exact = (q[own] * x[other]).sum(axis=1)
-                    if metric == "cosine":
-                        lengths = ql[own] * xl[other]
-                        exact = np.where(lengths > 0, exact / np.where(lengths > 0, lengths, 1), 0)
-                    s[own - start, other] = np.where(np.isfinite(exact), exact, -np.inf)
-                order = np.lexsort((j, -s[i, j], i))
-                i, j = i[order], j[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[place < k], j[place < k]
-                found.append(np.array([i + start, j, s[i, j]]))
+            found.append(_best_of(q, x, k, metric, BLOCK_SCORES))
         i, j, s = np.concatenate(found, axis=1)
         return pa.Table.from_arrays([one.column("a").take(pa.array(i.astype(np.int64))), two.column("b").take(pa.array(j.astype(np.int64))), pa.array(s)], names=schema.names)
 
